@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from docloom.llm import license_scan, quality_rules, url_filter
+from docloom.llm import license_scan, packing, quality_rules, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
+        "op2_toxicity": toxicity.op2_toxicity,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op8_license_scan": license_scan.op8_license_scan,
+        "op9_packing": packing.op9_packing,
         "op10_url_filter": url_filter.op10_url_filter,
     }
 
