@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from docloom.llm import license_scan, packing, quality_rules, toxicity, url_filter
+from docloom.llm import license_scan, near_dedup, packing, quality_rules, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op2_toxicity": toxicity.op2_toxicity,
+        "op4_near_dedup": near_dedup.op4_near_dedup,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op8_license_scan": license_scan.op8_license_scan,
         "op9_packing": packing.op9_packing,
