@@ -27,7 +27,9 @@ SEQUENCE = 1024
 END_ID = 0
 #: Size of the hashed vectors, and dimensions and bits a dimension of the curve.
 HASHED, DIMENSIONS, BITS = 1024, 3, 10
-#: Ranges at least: tokens a range (so that one padded end each is little), and at most the session's shuffle partitions.
+#: Documents vectorised at a time.
+ROWS = 256
+#: Least tokens of a range, so that its padded end is little.
 RANGE_TOKENS = 1 << 19
 
 
@@ -84,8 +86,8 @@ def tokenise(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode_ordinary
-        for batch in batches:
-            ids = [np.asarray([*encode(t or ""), END_ID], "<u2") for t in batch.column(1).to_pylist()]
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+            ids = [np.asarray([*encode(t.as_py() or ""), END_ID], "<u2") for t in batch.column(1)]
             bags = np.zeros((len(ids), HASHED))
             for row, own in zip(bags, ids, strict=True):
                 row += np.bincount(own % HASHED, minlength=HASHED)
@@ -105,7 +107,7 @@ def cut(size: int, with_ids: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence, offset = TaskContext.get().partitionId() << 40, 0
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             rows, held = [], []
             for doc_id, n, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 wide = np.frombuffer(ids.as_buffer(), "<u2").astype("<u4")
