@@ -25,7 +25,7 @@ from docloom.llm.common import maybe_broadcast, stored, table
 from docloom.llm.tokens import hash_words
 
 #: Most words and bigrams of the model; words and bigrams need so many occurrences.
-VOCABULARY, BIGRAMS = 65_535, 1_000_000
+VOCABULARY, BIGRAMS = 65_535, 500_000
 MIN_WORD, MIN_BIGRAM = 3, 3
 #: Discount of the bigrams of all text, and least discount of a class's counts.
 DISCOUNT = 0.75
@@ -108,16 +108,28 @@ def count(rows: DataFrame, words: np.ndarray | None) -> DataFrame:
     return found.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
+def commonest(counts: DataFrame, bound: int) -> pa.Table:
+    """The rows (key, n0, n1) of the largest counts, as many as the bound allows with all of equal size, to an eighth of a power of two."""
+    size = F.floor(F.log2(F.col("n0") + F.col("n1")) * 8).cast("int")
+    held, least = 0, 0
+    for at, n in sorted(map(tuple, counts.groupBy(size).count().collect()), reverse=True):  # 8 * 64 rows at most
+        held += n
+        if held > bound:
+            least = at + 1
+            break
+    return counts.where(size >= least).select("key", "n0", "n1").toArrow()
+
+
 def fit(rows: DataFrame) -> Model:
     """The model of rows(text, toxic); without rows of both classes it tells no text from another."""
-    top = count(rows, None).where(F.col("n0") + F.col("n1") >= MIN_WORD).orderBy(F.desc(F.col("n0") + F.col("n1")), "key").limit(VOCABULARY)
-    words = np.sort(np.asarray([r[0] for r in top.select("key").toLocalIterator()], np.int64).view(np.uint64))
+    words = commonest(stored(count(rows, None).where(F.col("n0") + F.col("n1") >= MIN_WORD), "words"), VOCABULARY)
+    words = np.sort(words["key"].to_numpy().view(np.uint64))
     width = len(words) + 1
     pairs = stored(count(rows, words), "bigrams").select("*", F.floor(F.col("key") / width).alias("v"), (F.col("key") % width).alias("w"))
     seen = [F.sum((F.col(f"n{c}") > 0).cast("long")).alias(f"t{c}") for c in (0, 1)]
     after = pairs.groupBy("v").agg(F.sum("n0"), F.sum("n1")).collect()  # a row for each word of the vocabulary at most
     into = pairs.groupBy("w").agg(*seen, F.count("*")).collect()
-    kept = pairs.where(F.col("n0") + F.col("n1") >= MIN_BIGRAM).orderBy(F.desc(F.col("n0") + F.col("n1")), "key").limit(BIGRAMS).select("key", "n0", "n1").toPandas()
+    kept = commonest(pairs.where(F.col("n0") + F.col("n1") >= MIN_BIGRAM).select("key", "n0", "n1"), BIGRAMS)
     total = np.zeros((width, 2))
     types = np.zeros((width, 2))
     shared = np.zeros(width)
@@ -130,8 +142,8 @@ def fit(rows: DataFrame) -> Model:
     all_types = np.maximum(types.sum(axis=0), 1)
     found = excess(types, types.sum(axis=1, keepdims=True) * all_types / all_types.sum()) / all_types
     lift = 1 - found.sum(axis=0) + found / share[:, None]
-    kept = kept.sort_values("key")
-    keys, counts = kept["key"].to_numpy(np.int64), kept[["n0", "n1"]].to_numpy(np.float64).reshape(-1, 2)
+    kept = kept.sort_by("key")
+    keys, counts = kept["key"].to_numpy(), np.c_[kept["n0"].to_numpy(), kept["n1"].to_numpy()].astype(float)
     v, w = keys // width, keys % width
     every = np.maximum(total.sum(axis=1), 1)
     pooled = np.maximum(counts.sum(axis=1) - DISCOUNT, 0) / every[v]
