@@ -34,10 +34,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if its counted size is within the limit; else as it is, for a shuffled join."""
+def fits(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the counted rows of df, at so many bytes each, are within the limit."""
     bound = limit // row_bytes
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df.hint("merge")
+    return df.limit(bound + 1).count() <= bound
+
+
+def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it fits; else with one for a sort-merge join, whose hot keys adaptive execution splits."""
+    return F.broadcast(df) if fits(df, row_bytes, limit) else df.hint("merge")
 
 
 def ascii_lower(text: Column) -> Column:

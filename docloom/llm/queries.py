@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from docloom.llm import license_scan, near_dedup, packing, quality_rules, toxicity, url_filter
+from docloom.llm import decontamination, license_scan, near_dedup, packing, quality_rules, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_decontamination": decontamination.op1_decontamination,
         "op2_toxicity": toxicity.op2_toxicity,
         "op4_near_dedup": near_dedup.op4_near_dedup,
         "op5_quality_rules": quality_rules.op5_quality_rules,
@@ -18,6 +19,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_decontamination": decontamination.ORACLE_SQL,
         "op8_license_scan": license_scan.ORACLE_SQL,
         "op10_url_filter": url_filter.ORACLE_SQL,
     }
