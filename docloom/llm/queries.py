@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from docloom.llm import decontamination, license_scan, near_dedup, packing, quality_rules, toxicity, url_filter
+from docloom.llm import decontamination, license_scan, near_dedup, packing, quality_rules, secret_scan, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_decontamination": decontamination.op1_decontamination,
         "op2_toxicity": toxicity.op2_toxicity,
+        "op3_secret_scan": secret_scan.op3_secret_scan,
         "op4_near_dedup": near_dedup.op4_near_dedup,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op8_license_scan": license_scan.op8_license_scan,
