@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import decontamination, html_extract, license_scan, near_dedup, packing, quality_rules, secret_scan, toxicity, url_filter
+from docloom.llm import decontamination, html_extract, license_scan, near_dedup, packing, quality_rules, secret_scan, substring_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_secret_scan": secret_scan.op3_secret_scan,
         "op4_near_dedup": near_dedup.op4_near_dedup,
         "op5_quality_rules": quality_rules.op5_quality_rules,
+        "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_html_extract": html_extract.op7_html_extract,
         "op8_license_scan": license_scan.op8_license_scan,
         "op9_packing": packing.op9_packing,
