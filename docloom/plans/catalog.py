@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docloom.plans import outline
+from docloom.plans import outline, parsed, scalars
 
-MODULES = (outline,)
+MODULES = (outline, scalars, parsed)
 
 
 def queries() -> dict:
