@@ -60,11 +60,12 @@ def with_repeated_words(rows: DataFrame) -> DataFrame:
     ranked = F.array_sort(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     none = F.array().cast("array<struct<h:bigint,i:int>>")
     rows = rows.withColumn("ranked", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), ranked).otherwise(none)).drop("hashes")
-    rows = rows.withColumn("same", F.zip_with("ranked", F.slice("ranked", 2, 2147483647), lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))))
+    rows = rows.withColumn("same", F.zip_with("ranked", F.slice("ranked", 2, 1 << 30), lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))))
     either = F.zip_with("same", F.concat(F.array(F.lit(False)), "same"), lambda x, y: F.coalesce(x, F.lit(False)) | y)
     at = F.filter(F.zip_with("ranked", either, lambda x, hit: F.when(hit, x["i"])), lambda i: i.isNotNull())
     rows = rows.withColumn("at", F.array_sort(at)).drop("ranked", "same")
-    gaps = F.zip_with("at", F.concat(F.array(F.lit(-3)), "at"), lambda x, last: F.coalesce(F.least(F.lit(3), x - last), F.lit(0)))
+    before = F.slice(F.concat(F.array(F.lit(-3)), "at"), 1, F.size("at"))
+    gaps = F.zip_with("at", before, lambda x, last: F.least(F.lit(3), x - last))
     return rows.withColumn("n_repeat_words", F.aggregate(gaps, F.lit(0), lambda s, x: s + x).cast("long")).drop("at")
 
 
