@@ -70,16 +70,8 @@ def candidates(documents: DataFrame, entries: DataFrame) -> DataFrame:
     return met.where(both).select("d1", "d2", "entry", "shift")
 
 
-def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_hit, hits, items) for every row of documents(doc_id, text), against benchmark(item_id, text).
-
-    A window is that many consecutive words of an item, or all words of a shorter item. hits are
-    the occurrences of windows, as sorted (start, end) in words of the document; n_hit is how many
-    words they cover; items are the item_ids, as strings, with a window that occurs. Null and empty
-    texts have no words; items without words or windows match nothing, an item without an id is
-    hit but not named; repeated rows are answered each; other columns are ignored; an empty
-    benchmark hits nothing, no documents give no rows.
-    """
+def compared(documents: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """find's rows with the documents' keys."""
     documents = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     entries = entries_of(benchmark, window)
     found = candidates(documents, entries).join(maybe_broadcast(entries, 1024), "entry")
@@ -87,22 +79,43 @@ def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", *document_key(), code_words(F.col("text")).alias("words"))
     rows = rows.join(maybe_broadcast(asked, 2048), ["d1", "d2"], "left")
 
-    def compared(c: Column) -> Column:
+    def aligned(c: Column) -> Column:
         skip = F.greatest(F.lit(0), -c["shift"])
         part = F.slice("words", c["shift"] + skip + 1, F.greatest(F.lit(0), c["m"] - skip))
         same = F.zip_with(F.slice(c["words"], skip + 1, F.greatest(F.lit(0), c["m"] - skip)), part, lambda x, y: F.coalesce(x == y, F.lit(False)))
         return F.struct((c["shift"] + skip).alias("at"), c["k"].alias("k"), same.alias("same"), c["items"].alias("items"))
 
-    rows = rows.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), F.explode_outer(F.transform("asked", compared)).alias("c"))
-    rows = rows.select("row", "doc_id", "n_words", "c.*")
+    rows = rows.select("row", "doc_id", "d1", "d2", F.size("words").cast("long").alias("n_words"), F.explode_outer(F.transform("asked", aligned)).alias("c"))
+    rows = rows.select("row", "doc_id", "d1", "d2", "n_words", "c.*")
     starts = F.when(F.size("same") >= F.col("k"), F.sequence(F.lit(1), F.size("same") - F.col("k") + 1)).otherwise(F.array().cast("array<int>"))
     starts = F.filter(starts, lambda s: F.forall(F.slice("same", s, F.col("k")), lambda x: x))
     rows = rows.withColumn("starts", starts)
-    rows = rows.select("row", "doc_id", "n_words", F.when(F.size("starts") > 0, F.col("items")).alias("items"), F.transform("starts", lambda s: F.struct((F.col("at") + s - 1).alias("start"), (F.col("at") + s - 1 + F.col("k")).alias("end"))).alias("hits"))
-    rows = rows.groupBy("row", "doc_id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    rows = rows.select("row", "doc_id", "d1", "d2", "n_words", F.when(F.size("starts") > 0, F.col("items")).alias("items"), F.transform("starts", lambda s: F.struct((F.col("at") + s - 1).alias("start"), (F.col("at") + s - 1 + F.col("k")).alias("end"))).alias("hits"))
+    rows = rows.groupBy("row", "doc_id", "d1", "d2", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     zero = F.struct(F.lit(0).alias("upto"), F.lit(0).alias("n"))
     step = lambda a, x: F.struct(F.greatest(a["upto"], x["end"]).alias("upto"), (a["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(a["upto"], x["start"]))).alias("n"))
-    return rows.select("doc_id", "n_words", F.aggregate("hits", zero, step, lambda a: a["n"]).cast("long").alias("n_hit"), "hits", "items")
+    return rows.select("doc_id", "d1", "d2", "n_words", F.aggregate("hits", zero, step, lambda a: a["n"]).cast("long").alias("n_hit"), "hits", "items")
+
+
+def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, n_words, n_hit, hits, items) for every row of documents(doc_id, text), against benchmark(item_id, text).
+
+    A window is that many consecutive words of an item, or all words of a shorter item. hits are
+    the occurrences of windows, as sorted (start, end) in words of the document; n_hit is how many
+    words they cover; items are the item_ids, as strings, with a window that occurs. Null and empty
+    texts have no words; items without words or windows match nothing, an item without an id is
+    hit but not named; repeated rows are answered each; other columns are ignored; an empty
+    benchmark hits nothing, no documents give no rows.
+    """
+    return compared(documents, benchmark, window).drop("d1", "d2")
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of documents, with all their columns, in which no window of the benchmark occurs."""
+    hit = stored(compared(documents, benchmark, window).where("n_hit > 0").select("d1", "d2").distinct(), "hit")
+    rows = documents.select(F.struct("*").alias("document"), "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.select("document", *document_key()).join(maybe_broadcast(hit, 16), ["d1", "d2"], "left_anti")
+    return rows.select("document.*")
 
 
 def near(documents: DataFrame, benchmark: DataFrame, terms: int = NEAR_TERMS, words: int = NEAR_WORDS) -> DataFrame:

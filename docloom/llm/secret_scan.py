@@ -180,14 +180,13 @@ def thresholds(tested: DataFrame) -> dict[int, int]:
 
 
 def scan(documents: DataFrame) -> DataFrame:
-    """(doc_id, text, spans) for every row of documents(doc_id, text): spans of (start, kind, end, found), by start and then in the order of KINDS.
+    """(document, text, spans) for every row of documents(text, ...), all columns of which are in document: spans of (start, kind, end, found), by start and then in the order of KINDS.
 
     Positions are code points, ends exclusive. Base spans come from the patterns; a random span is a
     token of the battery that overlaps none of them. A null text is empty; repeated rows are scanned
-    each (each token counts in the discovery control); other columns are ignored; an empty table
-    gives no rows.
+    each (each token counts in the discovery control); an empty table gives no rows.
     """
-    rows = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = documents.select(F.struct("*").alias("document"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kept = {
         "assign": lambda x: F.length(F.regexp_extract(x["found"], ASSIGNED, 1)) >= 6,
         "access": lambda x: F.lit(True),
@@ -209,20 +208,23 @@ def scan(documents: DataFrame) -> DataFrame:
         return (t["p"]["p_random"] >= REJECT) & (p_bin(t["p"]["p_text"]) >= bar)
 
     random = tagged(F.filter("tokens", discovered), KINDS.index("random"))
-    return rows.select("doc_id", "text", F.array_sort(F.concat("base", random)).alias("spans"))
+    return rows.select("document", "text", F.array_sort(F.concat("base", random)).alias("spans"))
 
 
 def masked(found: DataFrame) -> DataFrame:
-    """scan's rows with their spans blotted out of the text: each maximal run of covered characters becomes [SECRET]."""
-    zero = F.struct(F.lit(0).alias("upto"), F.array().cast("array<string>").alias("parts"), F.col("text").alias("text"))
+    """scan's documents with all columns and their spans blotted out of text: each maximal run of covered characters becomes [SECRET]; n_chars, where there is one, follows."""
+    zero = F.struct(F.lit(0).alias("upto"), F.array().cast("array<string>").alias("parts"))
 
     def step(a: Column, x: Column) -> Column:
         apart = (x["start"] > a["upto"]) | (F.size(a["parts"]) == 0)
-        parts = F.when(apart, F.concat(a["parts"], F.array(F.substring(a["text"], a["upto"] + 1, x["start"] - a["upto"]), F.lit("[SECRET]")))).otherwise(a["parts"])
-        return F.struct(F.greatest(a["upto"], x["end"]).alias("upto"), parts.alias("parts"), a["text"].alias("text"))
+        parts = F.when(apart, F.concat(a["parts"], F.array(F.substring("text", a["upto"] + 1, x["start"] - a["upto"]), F.lit("[SECRET]")))).otherwise(a["parts"])
+        return F.struct(F.greatest(a["upto"], x["end"]).alias("upto"), parts.alias("parts"))
 
-    blotted = F.aggregate("spans", zero, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(a["text"], a["upto"] + 1, F.length(a["text"]))))
-    return found.withColumn("text", F.when(F.size("spans") > 0, blotted).otherwise(F.col("text")))
+    blotted = F.aggregate("spans", zero, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring("text", a["upto"] + 1, F.length("text"))))
+    columns = found.schema["document"].dataType.fieldNames()
+    text = F.when(F.size("spans") > 0, blotted).otherwise(F.col("document.text"))
+    new = {"text": text} | ({"n_chars": F.when(F.size("spans") > 0, F.length(blotted).cast("long")).otherwise(F.col("document.n_chars"))} if "n_chars" in columns else {})
+    return found.select(*(new.get(c, F.col(f"document.`{c}`")).alias(c) for c in columns))
 
 
 def written(spans: Column) -> Column:
@@ -232,7 +234,7 @@ def written(spans: Column) -> Column:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents"))
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     of = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == KINDS.index(kind))).cast("long")
     base = F.filter("spans", lambda x: x["kind"] < KINDS.index("random"))
-    return found.select("doc_id", *(of(k).alias(f"n_{k}") for k in ("assign", "access", "hex")), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), of("random").alias("n_random"))
+    return found.select("document.doc_id", *(of(k).alias(f"n_{k}") for k in ("assign", "access", "hex")), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), of("random").alias("n_random"))

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.llm.common import maybe_broadcast, stored, table
 from docloom.llm.tokens import hash_words
@@ -206,33 +207,52 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
     return float(beta[0]), max(float(beta[1]), 1e-6)
 
 
-def score(documents: DataFrame, labels: DataFrame, learn_folds: tuple[int, ...] = tuple(range(1, FOLDS))) -> DataFrame:
-    """(doc_id, held_out, score, predicted, ratio) for every row of documents(doc_id, text); labels(doc_id, toxic).
+def learn(documents: DataFrame, labels: DataFrame, folds: tuple[int, ...] = tuple(range(1, FOLDS))) -> tuple[Model, float, float]:
+    """The model and its curve's intercept and slope, from documents(doc_id, text) with labels(doc_id, toxic) in some folds.
 
-    A null text is empty; a text without words has ratio 0; a null doc_id is in no fold and never
-    learned from; of several labels of a doc_id the largest holds, null labels don't count; repeated
-    rows are scored each; other columns are ignored; an empty table gives no rows. Without labels of
-    both classes every score is that of the curve at 0.
+    A null doc_id is in no fold; of several labels of a doc_id the largest holds, null labels don't
+    count. Without labels of both classes every score is that of the curve at 0.
     """
-    spark = documents.sparkSession
     rows = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id"), fold(F.col("doc_id")).alias("fold"), (F.col("toxic") > 0).alias("toxic"))
-    known = known.where(F.col("fold").isin(*learn_folds)).groupBy("doc_id", "fold").agg(F.max("toxic").alias("toxic"))
+    known = known.where(F.col("fold").isin(*folds)).groupBy("doc_id", "fold").agg(F.max("toxic").alias("toxic"))
     learned = rows.join(maybe_broadcast(known, 16), "doc_id").select("text", "toxic", "fold")
     model = fit(learned.where(F.col("fold") != CURVE_FOLD).select("text", "toxic"))
-    sent = spark.sparkContext.broadcast(model)
     curve = learned.where(F.col("fold") == CURVE_FOLD).select("text", F.col("toxic").cast("int").alias("toxic"))
-    curve = curve.mapInArrow(scorer(sent, ["toxic"]), "toxic int, ratio double")
+    curve = curve.mapInArrow(scorer(documents.sparkSession.sparkContext.broadcast(model), ["toxic"]), "toxic int, ratio double")
     step = 1 / 256
     bins = curve.groupBy("toxic", F.least(F.greatest(F.round(F.col("ratio") / step), F.lit(-BINS)), F.lit(BINS)).alias("bin")).count().collect()  # 2 * (2 * BINS + 1) rows at most
-    if bins:
-        y, x, n = (np.asarray(c, float) for c in zip(*bins, strict=True))
-        intercept, slope = logistic(x * step, y, n)
-    else:
-        intercept, slope = 0.0, 1.0
-    scored = rows.select("text", "doc_id").mapInArrow(scorer(sent, ["doc_id"]), "doc_id long, ratio double")
-    value = 1 / (1 + F.exp(-(F.lit(intercept) + F.lit(slope) * F.col("ratio"))))
-    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), value.alias("score"), (value >= 0.5).cast("int").alias("predicted"), "ratio")
+    if not bins:
+        return model, 0.0, 1.0
+    y, x, n = (np.asarray(c, float) for c in zip(*bins, strict=True))
+    return model, *logistic(x * step, y, n)
+
+
+def scored(documents: DataFrame, learned: tuple[Model, float, float]) -> DataFrame:
+    """documents(text, ...) with document (all columns as they came), ratio and score for every row."""
+    model, intercept, slope = learned
+    sent = documents.sparkSession.sparkContext.broadcast(model)
+    rows = documents.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct("*").alias("document"))
+    schema = T.StructType([rows.schema["document"], T.StructField("ratio", T.DoubleType())])
+    rows = rows.mapInArrow(scorer(sent, ["document"]), schema)
+    return rows.withColumn("score", 1 / (1 + F.exp(-(F.lit(intercept) + F.lit(slope) * F.col("ratio")))))
+
+
+def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, held_out, score, predicted, ratio) for every row of documents(doc_id, text); labels(doc_id, toxic).
+
+    A null text is empty; a text without words has ratio 0; a null doc_id is not held out; repeated
+    rows are scored each; other columns are ignored; an empty table gives no rows. For labels see
+    learn.
+    """
+    rows = scored(documents.select("doc_id", "text"), learn(documents, labels))
+    doc_id = F.col("document.doc_id")
+    return rows.select(doc_id.alias("doc_id"), (fold(doc_id) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "ratio")
+
+
+def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of documents, with all their columns, that are not predicted to be toxic."""
+    return scored(documents, learn(documents, labels)).where("score < 0.5").select("document.*")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
