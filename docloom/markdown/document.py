@@ -74,7 +74,10 @@ def parse(source: str, path: str = "", embedded: bool = False, windows: bool = F
     """The document of a Markdown source; path resolves its relative links, embedded leaves headings without ids of their own."""
     front, body, taken_lines = front_matter(source)
     context = Context()
-    lines = [(i + taken_lines, spaced(t)) for i, t in enumerate(re.split(r"\r\n|\n|\r", body))]
+    texts = re.split(r"\r\n|\n|\r", body)
+    if not texts[-1]:
+        texts.pop()  # a line break ends the last line
+    lines = [(i + taken_lines, spaced(t)) for i, t in enumerate(texts)]
     doc = Document(Node("document", last=max(0, taken_lines + len(lines) - 1)), front, words=sum(1 for w in FIELD_SPACE.split(source) if w))
     doc.root.children = Blocks(lines, context).parse()
     doc.abbreviations = context.abbreviations
