@@ -7,9 +7,11 @@ two documents agree on a register with a probability equal to their similarity.
 banded, and every candidate pair is verified by its exact multiset overlap.
 
 Texts with one sequence of words are united first, by hash, whatever their number. In a bucket all
-members are compared to its first one; only where that leaves several components are further pivots
-taken, in rounds, so no bucket is expanded into all its pairs and no link between components is
-lost.
+members are compared to its hub, the member that meets most others over all bands. Only where that
+leaves several components are further pairs asked, of members of different ones: those that share
+rare shingles, found by these, and those whose many rare shingles don't rule out that they are
+similar without. So copies of one text that differ by edits of their own never make all their pairs,
+and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.llm.common import maybe_broadcast, stored, table
 from docloom.llm.graph import components
@@ -32,8 +35,10 @@ SIMILAR = (4, 5)
 #: At similarity 0.8 one of the bands agrees with probability 1 - (1 - 0.8**6)**32 = 0.99994.
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
-#: Pivots of a bucket in the first round after the first member; doubled each round.
-PIVOTS = 64
+#: Pivots of a bucket in the first round after its hub, about; doubled each round.
+PIVOTS = 1024
+#: A shingle of the undecided texts is rare if so many of them have it at most.
+FEW = 8
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -112,7 +117,7 @@ def pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
 
 
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, doc_id, text) to (row, doc_id, text, same1, same2, n, bands): the hash of all words in two halves, their number of shingles, band keys."""
+    """(row, doc_id, text, document) to the same with same1, same2, n, bands: the hash of all words in two halves, their number of shingles, band keys."""
     for batch in batches:
         for i, j, hashes, at in pieces(batch.column(2)):
             own = [hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() for a, b in zip(at, at[1:], strict=False)]
@@ -121,7 +126,7 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = banded(signatures(row, shingle, count, j - i)).view(np.int64)
             n = np.bincount(row, count, j - i).astype(np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * BANDS, BANDS), pa.int32()), pa.array(keys.ravel()))
-            yield pa.record_batch([*(c.slice(i, j - i) for c in batch.columns), pa.array(same[:, 0]), pa.array(same[:, 1]), pa.array(n), bands], names=["row", "doc_id", "text", "same1", "same2", "n", "bands"])
+            yield pa.record_batch([*(c.slice(i, j - i) for c in batch.columns), pa.array(same[:, 0]), pa.array(same[:, 1]), pa.array(n), bands], names=["row", "doc_id", "text", "document", "same1", "same2", "n", "bands"])
 
 
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -158,60 +163,132 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.sortWithinPartitions("b").mapInArrow(verify, "a long, b long")
 
 
-def near_classes(documents: DataFrame) -> DataFrame:
-    """(doc_id, class_id, kept) for every row of documents(doc_id, text): class_id is the least doc_id of the class, kept marks one row of it.
+def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, text) to (rep, shingle, count) for each distinct shingle of a text."""
+    for batch in batches:
+        reps = batch.column(0).to_numpy()
+        for i, _, hashes, at in pieces(batch.column(1)):
+            row, shingle, count = shingles(hashes, at)
+            yield pa.record_batch([pa.array(reps[i + row]), pa.array(shingle.view(np.int64)), pa.array(count)], names=["rep", "shingle", "count"])
+
+
+def rarities(texts: DataFrame) -> DataFrame:
+    """(rep, shingle, count, texts): the shingles of texts(rep, text) that FEW of them have at most."""
+    spelled = stored(texts.select("rep", "text").mapInArrow(spell, "rep long, shingle long, count long"), "spelled")
+    few = spelled.groupBy("shingle").agg(F.count("*").alias("texts")).where(F.col("texts") <= FEW)
+    return spelled.join(few, "shingle")
+
+
+def fits(a: Column, b: Column) -> Column:
+    """Whether multisets of these sizes can be similar."""
+    return F.least(a, b) * SIMILAR[1] >= F.greatest(a, b) * SIMILAR[0]
+
+
+def may(both: Column, a: Column, b: Column) -> Column:
+    """Whether multisets of sizes a and b that have both in common at most can be similar."""
+    return both * (SIMILAR[0] + SIMILAR[1]) >= (a + b) * SIMILAR[0]
+
+
+def rare_pairs(rare: DataFrame, people: DataFrame) -> DataFrame:
+    """(a, b): pairs of people(rep, n, component, common) of different components that share rare shingles and may be similar.
+
+    Two texts have at most the smaller of their common counts and what they share of the rare in
+    common; a rare shingle has FEW texts, so it makes a bounded number of pairs.
+    """
+    known = rare.where("texts > 1").join(maybe_broadcast(people, 48), "rep")
+    a = known.select("shingle", *(F.col(c).alias(f"a_{c}") for c in ("rep", "count", "n", "common", "component")))
+    b = known.select("shingle", *(F.col(c).alias(f"b_{c}") for c in ("rep", "count", "n", "common", "component")))
+    both = a.join(b, "shingle").where((F.col("a_rep") < F.col("b_rep")) & (F.col("a_component") != F.col("b_component")) & fits(F.col("a_n"), F.col("b_n")))
+    both = both.groupBy("a_rep", "b_rep", "a_n", "b_n", "a_common", "b_common").agg(F.sum(F.least("a_count", "b_count")).alias("shared"))
+    both = both.where(may(F.least("a_common", "b_common") + F.col("shared"), F.col("a_n"), F.col("b_n")))
+    return both.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+
+
+def classified(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(row, document) and (row, doc_id, class_id, kept) for every row of documents(doc_id, text, ...): class_id is the least doc_id of the class, kept marks one row of it.
 
     A class is a connected component of near copies. Words are lower-cased runs of 0-9, a-z and
     characters beyond ASCII; a text of one to four words is one shingle; null, empty and wordless
     texts have no shingles and are copies of each other. Repeated rows are copies, and one is kept;
     a null doc_id is a row like others (and the class_id only of a class without another id);
-    other columns are ignored; an empty table gives no rows.
+    other columns are kept in document; an empty table gives no rows.
     """
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    signed = stored(rows.mapInArrow(sign, "row long, doc_id long, text string, same1 long, same2 long, n long, bands array<long>"), "signed")
+    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(F.struct(*(F.col(f"`{c}`") for c in documents.columns if c != "text")).alias("rest"), F.col("text").isNull().alias("no_text")).alias("document"))
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(c, T.LongType()) for c in ("same1", "same2", "n")), T.StructField("bands", T.ArrayType(T.LongType()))])
+    signed = stored(rows.mapInArrow(sign, schema), "signed")
     first = stored(signed.groupBy("same1", "same2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least")), "copies")
 
     reps = signed.join(first.select("rep"), F.col("row") == F.col("rep"), "left_semi")
     bands = reps.where("n > 0").select(F.col("row").alias("rep"), "n", F.explode("bands").alias("key"))
     bands = stored(bands, "bands")
-    hubs = stored(bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1"), "hubs")
-    buckets = stored(bands.join(hubs, "key"), "buckets").where("rep <> hub")
-
-    fits = lambda a, b: (F.least(a, b) * SIMILAR[1] >= F.greatest(a, b) * SIMILAR[0])
-    sizes = hubs.select("key", "hub").join(bands.select("key", F.col("rep").alias("hub"), F.col("n").alias("hub_n")), ["key", "hub"])
-    asked = stored(buckets.join(sizes.select("key", "hub_n"), "key").where(fits(F.col("n"), F.col("hub_n"))).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "asked")
-    wanted = stored(buckets.select("rep").union(hubs.select("hub")).distinct(), "wanted")
-    texts = stored(signed.select(F.col("row").alias("rep"), "text").join(maybe_broadcast(wanted, 16), "rep"), "texts")
+    sizes = stored(bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    buckets = stored(bands.join(maybe_broadcast(sizes, 32), "key"), "buckets")
+    met = stored(buckets.groupBy("rep").agg(F.sum("size").alias("met")), "met")
+    hubs = buckets.join(maybe_broadcast(met, 32), "rep").groupBy("key").agg(F.max(F.struct("met", "rep", "n")).alias("hub"))
+    hubs = maybe_broadcast(stored(hubs.select("key", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs"), 48)
+    buckets = stored(buckets.join(hubs, "key").where("rep <> hub"), "buckets")
+
+    asked = buckets.where(fits(F.col("n"), F.col("hub_n")))
+    asked = stored(asked.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "asked")
+    wanted = maybe_broadcast(met.select("rep"), 16)
+    texts = stored(signed.select(F.col("row").alias("rep"), "text").join(wanted, "rep"), "texts")
     edges = stored(similar(asked, texts), "edges")
     labels = components(edges)
-    of = F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) / (1 << 30)
-    left, last, turn = buckets.select("key", "rep", "n", "size", of.alias("at")), F.lit(0.0), 0
-    while True:
-        left = left.where(F.col("at") >= last)
-        marked = left.join(labels, left.rep == labels.node, "left").select(*left.columns, F.coalesce("component", "rep").alias("component"))
+
+    def divided(rows: DataFrame) -> DataFrame:
+        """The rows of buckets that hold several components, with the component."""
+        marked = rows.join(maybe_broadcast(labels, 32).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         many = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        marked = stored(marked.join(many, "key"), "left")
-        if marked.isEmpty():
-            break
-        left = marked.drop("component")
-        upto = F.least(F.lit(1.0), F.lit(float(PIVOTS << turn)) / F.col("size"))
-        pivots = marked.where(F.col("at") < upto).select("key", F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_component"), F.col("at").alias("b_at"))
-        pairs = marked.join(pivots, "key").where((F.col("component") != F.col("b_component")) & ((F.col("at") >= upto) | (F.col("rep") < F.col("b"))) & fits(F.col("n"), F.col("b_n")))
-        pairs = pairs.select(F.col("rep").alias("a"), "b").distinct()
-        pairs = pairs.join(asked.union(asked.select("b", "a")).select("a", "b"), ["a", "b"], "left_anti")
-        pairs = stored(pairs, "asked")
+        return stored(marked.join(many, "key"), "left")
+
+    def joined(pairs: DataFrame) -> None:
+        """Verifies pairs that were not asked before, and joins the components of those that are similar."""
+        nonlocal asked, edges, labels
+        pairs = stored(pairs.distinct().join(asked.union(asked.select("b", "a")), ["a", "b"], "left_anti"), "asked")
         found = stored(similar(pairs, texts), "edges")
-        asked, last, turn = asked.union(pairs), upto, turn + 1
+        asked = asked.union(pairs)
         if not found.isEmpty():
             edges = edges.union(found)
             labels = components(edges)
 
+    of = F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) / (1 << 30)
+    left, turn = divided(buckets.select("key", "rep", "n", "size", of.alias("at"))), 0
+    if not left.isEmpty():
+        people = stored(left.select("rep", "n", "component").distinct(), "people")
+        rare = stored(rarities(texts.join(maybe_broadcast(people.select("rep"), 16), "rep")), "rare")
+        people = people.join(rare.groupBy("rep").agg(F.sum("count").alias("rare")), "rep", "left")
+        people = stored(people.withColumn("common", F.col("n") - F.coalesce("rare", F.lit(0))).drop("rare"), "people")
+        joined(rare_pairs(rare, people))
+        left = left.drop("component").join(maybe_broadcast(people.select("rep", "common"), 32), "rep")
+        left = divided(left.where(F.col("common") * SIMILAR[1] >= F.col("n") * SIMILAR[0]))
+    while not left.isEmpty():
+        upto = F.least(F.lit(1.0), F.lit(float(PIVOTS << turn)) / F.col("size"))
+        pivots = left.where(F.col("at") < upto).select("key", *(F.col(c).alias(f"b_{c}") for c in ("rep", "n", "common", "component")))
+        pairs = left.join(pivots, "key").where((F.col("component") != F.col("b_component")) & ((F.col("at") >= upto) | (F.col("rep") < F.col("b_rep"))) & may(F.least("common", "b_common"), F.col("n"), F.col("b_n")))
+        joined(pairs.select(F.col("rep").alias("a"), F.col("b_rep").alias("b")))
+        left, turn = divided(left.where(F.col("at") >= upto).drop("component")), turn + 1
+
     named = first.join(labels, first.rep == labels.node, "left").select("same1", "same2", "least", F.coalesce("component", "rep").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("class_id"))
     named = stored(named.join(least, "component").select("same1", "same2", "class_id", "component"), "classes")
     members = stored(signed.select("row", "doc_id", "same1", "same2").join(named, ["same1", "same2"]), "members")
     kept = members.where("doc_id <=> class_id").groupBy("component").agg(F.min("row").alias("kept_row"))
-    return members.join(kept.select(F.col("kept_row").alias("row"), F.lit(True).alias("kept")), "row", "left").select("doc_id", "class_id", F.coalesce("kept", F.lit(False)).alias("kept"))
+    members = members.join(kept.select(F.col("kept_row").alias("row"), F.lit(True).alias("kept")), "row", "left").select("row", "doc_id", "class_id", F.coalesce("kept", F.lit(False)).alias("kept"))
+    return signed.select("row", "text", "document"), members
+
+
+def near_classes(documents: DataFrame) -> DataFrame:
+    """(doc_id, class_id, kept) for every row of documents(doc_id, text); see classified."""
+    return classified(documents.select("doc_id", "text"))[1].drop("row")
+
+
+def without_copies(documents: DataFrame) -> DataFrame:
+    """One row of documents, with all its columns, of each class of near copies."""
+    rows, members = classified(documents)
+    gone = stored(members.where("NOT kept").select("row"), "gone")
+    rows = rows.join(maybe_broadcast(gone, 16), "row", "left_anti")
+    whole = {c: F.col(f"document.rest.`{c}`") for c in documents.columns if c != "text"} | {"text": F.when(~F.col("document.no_text"), F.col("text"))}
+    return rows.select(*(whole[c].alias(c) for c in documents.columns))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
