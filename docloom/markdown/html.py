@@ -5,6 +5,7 @@ from __future__ import annotations
 from urllib.parse import quote
 
 from docloom.markdown.document import EMBEDDED, Document, parse
+from docloom.markdown.highlight import highlighted
 from docloom.markdown.inline import escape
 from docloom.markdown.nodes import Node
 
@@ -53,7 +54,7 @@ class Writer:
             self.out.append(f'<div class="md-embed">\n{to_html(parse(n.text, embedded=True), embedded=True)}</div>\n')
         else:
             named = f' data-lang="{escape(lang)}"' if lang else ""
-            self.out.append(f'<div class="codeblock"{named}><pre class="chroma"><code>{escape(n.text)}</code></pre></div>\n')
+            self.out.append(f'<div class="codeblock"{named}><pre class="chroma"><code>{highlighted(n.text, lang)}</code></pre></div>\n')
 
     def math_block(self, n: Node) -> None:
         self.out.append(f'<div class="math math-display">{escape(n.text)}</div>\n')

@@ -7,6 +7,7 @@ import random
 import pytest
 
 from docloom.markdown import parse, render
+from docloom.markdown.sanitize import sanitize
 from docloom.markdown.paths import classify_link, is_markdown, resolve_asset
 
 PAGE = """---
@@ -171,7 +172,7 @@ CASES = [
     ("3) a\n4) b", '<ol start="3">\n<li>a</li>\n<li>b</li>\n</ol>'),
     ("- a\n\n- b", "<ul>\n<li>\n<p>a</p>\n</li>\n<li>\n<p>b</p>\n</li>\n</ul>"),
     ("    code <x>", '<div class="codeblock"><pre class="chroma"><code>code &lt;x&gt;\n</code></pre></div>'),
-    ("~~~ py x\na\n~~~~", '<div class="codeblock" data-lang="py"><pre class="chroma"><code>a\n</code></pre></div>'),
+    ("~~~ zzz x\na\n~~~~", '<div class="codeblock" data-lang="zzz"><pre class="chroma"><code>a\n</code></pre></div>'),
     ("> a\nb\n\nc", "<blockquote>\n<p>a\nb</p>\n</blockquote>\n<p>c</p>"),
     ("> > a", "<blockquote>\n<blockquote>\n<p>a</p>\n</blockquote>\n</blockquote>"),
     ("> [!note] x", "<blockquote>\n<p>[!note] x</p>\n</blockquote>"),
@@ -244,3 +245,17 @@ def test_titles():
     assert parse("## x\n# \n# C *d*").title == "C d"
     assert parse("x", "a/b.c.md").title == "b.c"
     assert parse("# H^2^ $x$ b\nrest").toc == [(1, "H  b", "h--b")]
+
+
+def test_highlight_escapes_and_keeps_all_text():
+    import re
+
+    html = render("```python\nif a < 'b' & c:  # <x>\n    pass\n```")[0]
+    assert re.sub(r"<[^>]*>", "", html).strip() == "if a &lt; &#39;b&#39; &amp; c:  # &lt;x&gt;\n    pass"
+
+
+def test_sanitize():
+    dirty = '<p onclick="x()">a<script>alert(1)</script><a href="JaVaScript:x">b</a><img src="data:text/html,x" alt="c"><iframe src="x">d</iframe> &amp; &#39; <unknown>e</unknown></p>'
+    assert sanitize(dirty) == '<p>a<a>b</a><img alt="c"> &amp; &#39; e</p>'
+    page = render(PAGE, "docs/page.md")[0]
+    assert "alert alert-note" in sanitize(page) and "<kbd>" in sanitize(page) and "<script" not in sanitize(page)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from docloom.functions import expr as X
 from docloom.functions import lines as L
+from docloom.functions import sql
 from docloom.operators import tables as T
 from docloom.plans import catalog
 from docloom.sources import files, sinks
@@ -102,6 +103,21 @@ def test_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "rendered")).count() == 3
 
 
+def test_preferences_file(tmp_path):
+    path = str(tmp_path / "p.json")
+    assert sinks.write_preferences(path, {"tocWidth": 9999, "rscale": -2, "window": {"w": 300, "h": 200}}) == {"rscale": 1.0, "tocOpen": True, "tocWidth": 1200, "window": {"w": 300, "h": 200}}
+    assert os.listdir(tmp_path) == ["p.json"]
+
+
+def test_sql(spark):
+    sql.register(spark)
+    rows = spark.sql("SELECT p.kind, p.text FROM VALUES ('# A *b*'), (null) AS d(md), LATERAL parse_markdown(d.md) p WHERE p.kind IN ('heading', 'em')").collect()
+    assert sorted(map(tuple, rows)) == [("em", "b"), ("heading", "A b")]
+    assert spark.sql("SELECT markdown_title('# T'), sanitize_html(render_markdown('x <script>y</script> [a](javascript:z)'))").first()[0] == "T"
+    sql.views(spark.createDataFrame([(1, "# A\n\n[x](y.md)")], "doc_id long, md string"))
+    assert spark.sql("SELECT h.text, l.path FROM headings h JOIN links l USING (doc_id)").first() == ("A", "y.md")
+
+
 def test_change_feed_gives_later_edits_only(tmp_path):
     name = tmp_path / "a.md"
     name.write_text("1")
