@@ -73,8 +73,9 @@ def smaller_types(s: np.ndarray) -> np.ndarray:
 def induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, symbols: int) -> np.ndarray:
     """All suffixes in order, from the LMS suffixes in order."""
     bounds = np.searchsorted(s[lms], np.arange(symbols + 1)) if len(lms) else np.zeros(symbols + 1, int)
+    present = np.flatnonzero(np.bincount(s, minlength=symbols)).tolist()
     queues, large = Queues(symbols), [np.zeros(0, np.int64)] * symbols
-    for c in range(symbols):
+    for c in present:
         pending, parts = queues.pop(c), []
         while len(pending):
             parts.append(pending)
@@ -89,7 +90,7 @@ def induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, symbols: int) ->
         queues.spread(s[before], before)
     queues, out = Queues(symbols), []
     queues.push(int(s[-1]), np.array([len(s) - 1]))  # the last suffix has none to be induced from
-    for c in range(symbols - 1, -1, -1):
+    for c in present[::-1]:
         pending, parts = queues.pop(c), []
         while len(pending):
             parts.append(pending)

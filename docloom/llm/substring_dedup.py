@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import stored, table
+from docloom.llm.common import maybe_broadcast, stored, table
 from docloom.llm.induced import common_prefix, suffix_array
 from docloom.llm.tokens import chunks, mix, powers, text_bytes
 
 WINDOW, PART = 100, 32
 #: Anchors that a task combines before it sends them; bytes of records and of contexts that make a shard.
-COMBINED, SHARD_RECORDS, SHARD_BYTES = 1 << 20, 4 << 20, 4 << 20
+COMBINED, SHARD_RECORDS, SHARD_BYTES = 1 << 20, 4 << 20, 1 << 20
 #: Contexts of one anchor beyond which they are dealt by window.
 HOT_ANCHOR = 4096
 #: Record: anchor and context hash, document, start of the context in it and its number of windows (0: the anchor has many contexts).
@@ -42,6 +42,31 @@ RECORD = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("same
 MARK = np.dtype([("start", "<u4"), ("n", "<u4"), ("anchor", "<u8")])
 
 
+#: Bytes of each field that are sent: buckets and equal contexts need no more of the hashes.
+SENT_BYTES = {"anchor": 5, "context": 6, "doc": 8, "same": 8, "start": 4, "n": 1}
+
+
+def pack(r: np.ndarray) -> bytes:
+    """Records byte by byte, each byte of a field together and those that are all zero left out, so that ids of few bytes cost no more."""
+    planes = np.concatenate([np.ascontiguousarray(r[f]).view(np.uint8).reshape(len(r), -1)[:, :k].T for f, k in SENT_BYTES.items()])
+    used = planes.any(axis=1)
+    return len(r).to_bytes(4, "little") + np.packbits(used).tobytes() + planes[used].tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    n, total = int.from_bytes(data[:4], "little"), sum(SENT_BYTES.values())
+    used = np.unpackbits(np.frombuffer(data, np.uint8, (total + 7) // 8, 4))[:total].astype(bool)
+    planes = np.zeros((total, n), np.uint8)
+    planes[used] = np.frombuffer(data, np.uint8, offset=4 + (total + 7) // 8).reshape(-1, n)
+    out, at = np.zeros(n, RECORD), 0
+    for f, k in SENT_BYTES.items():
+        whole = np.zeros((n, RECORD[f].itemsize), np.uint8)
+        whole[:, :k] = planes[at : at + k].T
+        out[f] = whole.view(RECORD[f])[:, 0]
+        at += k
+    return out
+
+
 def anchors_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     """Anchors of rows of bytes: row, anchor hash, context hash, start (in data) and number of windows."""
     none = tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
@@ -124,7 +149,7 @@ def combine(held: list[np.ndarray], buckets: int) -> pa.RecordBatch:
     token = own[many & np.r_[True, ~alike]].copy()
     token["n"] = 0
     records = np.concatenate([own[~many], token])
-    place = ((records["anchor"] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    place = ((records["anchor"] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(place, kind="stable")
     cuts = np.flatnonzero(np.diff(place[order])) + 1
     parts = np.split(records[order], cuts) if len(records) else []
@@ -132,8 +157,8 @@ def combine(held: list[np.ndarray], buckets: int) -> pa.RecordBatch:
     marks = np.zeros(len(gone) + len(open_), MARK)
     for f in ("start", "n"):
         marks[f] = np.r_[gone[f], open_[f]]
-    marks["anchor"][len(gone) :] = open_["anchor"]
-    return sent(ids, [p.tobytes() for p in parts], *marked(np.r_[gone["doc"], open_["doc"]], np.r_[gone["same"], open_["same"]], marks))
+    marks["anchor"][len(gone) :] = open_["anchor"] & np.uint64((1 << 40) - 1)
+    return sent(ids, [pack(p) for p in parts], *marked(np.r_[gone["doc"], open_["doc"]], np.r_[gone["same"], open_["same"]], marks))
 
 
 def find_anchors(buckets: int):
@@ -148,7 +173,7 @@ def find_anchors(buckets: int):
                 at = offsets[i : j + 1] - offsets[i]
                 row, anchor, context, start, n = anchors_of(data[offsets[i] : offsets[j]], at)
                 r = np.zeros(len(row), RECORD)
-                r["anchor"], r["context"], r["doc"], r["same"], r["start"], r["n"] = np.maximum(anchor, np.uint64(1)), context, doc[i + row], same[i + row], start - at[row], n
+                r["anchor"], r["context"], r["doc"], r["same"], r["start"], r["n"] = anchor | np.uint64(1), context, doc[i + row], same[i + row], start - at[row], n
                 held.append(r)
                 size += len(r)
                 if size >= COMBINED:
@@ -164,7 +189,7 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """SENT in order of bucket to (doc, same, marks): contexts that go, and those that remain open."""
 
     def out(parts: list[bytes]) -> tuple[list, list, list]:
-        r = np.frombuffer(b"".join(parts), RECORD)
+        r = np.concatenate([unpack(p) for p in parts])
         many = np.unique(r["anchor"][r["n"] == 0])
         r = r[r["n"] > 0]
         by, group, later = leads((r["anchor"], r["context"]), (r["doc"], r["same"], r["start"]))
@@ -231,8 +256,11 @@ def gathered(column, i: int) -> np.ndarray:
     return np.frombuffer(b"".join(parts) if isinstance(parts, list) else parts or b"", MARK)
 
 
+OPENED = RESULT + ", doc long, same long, anchor long, start long, context binary"
+
+
 def open_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, doc, same, text, marks) to RESULT and, of documents with open contexts, doc, same, text and marks to go instead, and the contexts as (anchor, start, context)."""
+    """(doc_id, doc, same, text, marks) to RESULT, as if no open context were repeated, and to the open contexts as (doc, same, anchor, start, context)."""
     for batch in batches:
         rows = []
         for i, (doc_id, doc, same, text) in enumerate(zip(*(batch.column(k) for k in range(4)), strict=True)):
@@ -240,41 +268,38 @@ def open_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             marks = gathered(batch.column(4), i)
             open_ = marks[marks["anchor"] != 0]
             gone = marks[marks["anchor"] == 0]
-            if len(open_):
-                rows.append((doc_id, None, None, None, None, None, doc, same, text, gone.tobytes(), None, None, None))
-                for s, n, anchor in zip(open_["start"].tolist(), open_["n"].tolist(), open_["anchor"].view(np.int64).tolist(), strict=True):
-                    rows.append((doc_id, None, None, None, None, None, doc, same, None, None, anchor, s, text[s : s + n - 1 + WINDOW]))
-            else:
-                removed, spans, sha, _, runs = cut(text, gone["start"], gone["n"])
-                rows.append((doc_id, len(text), removed, spans, sha, [{"start": a, "end": b} for a, b in runs], None, None, None, None, None, None, None))
+            removed, spans, sha, _, runs = cut(text, gone["start"], gone["n"])
+            rows.append((doc_id, len(text), removed, spans, sha, [{"start": a, "end": b} for a, b in runs], doc, same, None, None, None))
+            for s, n, anchor in zip(open_["start"].tolist(), open_["n"].tolist(), open_["anchor"].view(np.int64).tolist(), strict=True):
+                rows.append((None, None, None, None, None, None, doc, same, anchor, s, text[s : s + n - 1 + WINDOW]))
             if len(rows) >= 4096:
                 yield opened(rows)
                 rows = []
         yield opened(rows)
 
 
-OPENED = RESULT + ", doc long, same long, text binary, marks binary, anchor long, start long, context binary"
-
-
 def opened(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 4 + [pa.string(), _SPANS, pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+    kinds = [pa.int64()] * 4 + [pa.string(), _SPANS] + [pa.int64()] * 4 + [pa.binary()]
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
     names = [x.split()[0] for x in OPENED.split(", ")]
     return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
-def repeated_windows(doc: np.ndarray, same: np.ndarray, start: np.ndarray, contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of contexts of documents: document, same and start of each window of which an equal one starts earlier."""
-    size = np.array([len(c) for c in contexts])
-    text = np.frombuffer(b"\x01".join(contexts) + b"\x01\x00", np.uint8)
-    begin = np.cumsum(np.r_[0, size[:-1] + 1])
-    of = np.repeat(np.arange(len(contexts)), size + 1)
-    of = np.r_[of, of[-1]]
-    place = np.arange(len(text)) - begin[of]
+def repeated_windows(doc: np.ndarray, same: np.ndarray, start: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of contexts (document, same, start, bytes): document, same and start of each window of which an equal one starts earlier."""
+    size = np.diff(offsets)
+    of = np.repeat(np.arange(len(size)), size)
+    text = np.ones(len(data) + len(size) + 1, np.uint8)  # a byte that no text has ends each context, a smaller one all
+    text[np.arange(len(data)) + of] = data
+    text[-1] = 0
+    of = np.r_[np.repeat(np.arange(len(size)), size + 1), len(size) - 1]
+    place = np.arange(len(text)) - (offsets[:-1] + np.arange(len(size)))[of]
     order = suffix_array(text, WINDOW)
     order = order[place[order] + WINDOW <= size[of[order]]]
     equal = common_prefix(text, order[1:], order[:-1], WINDOW)
     group = np.cumsum(np.r_[True, ~equal])
+    alone = np.r_[True, ~equal] & np.r_[~equal, True]
+    order, group = order[~alone], group[~alone]
     d, s, w = doc[of[order]], same[of[order]], start[of[order]] + place[order]
     by, _, later = leads((group,), (d, s, w))
     by = by[later]
@@ -284,24 +309,29 @@ def repeated_windows(doc: np.ndarray, same: np.ndarray, start: np.ndarray, conte
 def sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(shard, doc, same, start, context) in order of shard to (doc, same, marks)."""
 
-    def out(rows: list) -> pa.RecordBatch:
-        doc, same, start = (np.array([r[k] for r in rows], np.int64) for k in range(3))
-        d, s, w = repeated_windows(doc, same, start, [r[3] for r in rows])
+    def out(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(parts)
+        doc, same, start = (whole.column(k).to_numpy() for k in (1, 2, 3))
+        d, s, w = repeated_windows(doc, same, start, *text_bytes(whole.column(4)))
         marks = np.zeros(len(d), MARK)
         marks["start"], marks["n"] = w, 1
         columns = marked(d, s, marks)
         return pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], names=["doc", "same", "marks"])
 
-    shard, rows = None, []
+    shard, parts = None, []
     for batch in batches:
-        for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if k != shard and rows:
-                yield out(rows)
-                rows = []
-            shard = k
-            rows.append(row)
-    if rows:
-        yield out(rows)
+        shards = batch.column(0).to_numpy()
+        cuts = np.r_[0, np.flatnonzero(np.diff(shards)) + 1, len(shards)].tolist()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            if shards[a] != shard and parts:
+                yield out(parts)
+                parts = []
+            shard = shards[a]
+            parts.append(batch.slice(a, b - a))
+    if parts:
+        yield out(parts)
 
 
 def close_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,10 +341,11 @@ def close_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for i, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
             text = text.as_py()
             gone = np.concatenate([gathered(batch.column(2), i), gathered(batch.column(3), i)])
+            gone = gone[gone["anchor"] == 0]
             removed, spans, sha, _, runs = cut(text, gone["start"], gone["n"])
             rows.append((doc_id, len(text), removed, spans, sha, [{"start": a, "end": b} for a, b in runs]))
         columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.string(), _SPANS], strict=True)], names=[x.split()[0] for x in RESULT.split(", ")[:6]])
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.string(), _SPANS], strict=True)], names=[x.split()[0] for x in RESULT.split(", ")])
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:
@@ -328,29 +359,40 @@ def deduplicate(documents: DataFrame) -> DataFrame:
     """
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").alias("same"), F.col("text").cast("binary").alias("text"))
+    rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    twice = stored(rows.groupBy("doc").agg(F.count("*").alias("rows")).where("rows > 1").select("doc", F.lit(True).alias("twice")), "twice")
+    rows = rows.join(maybe_broadcast(twice, 16), "doc", "left")
+    rows = rows.select("doc_id", "doc", F.when(F.col("twice"), F.xxhash64("text")).otherwise(0).alias("same"), F.col("text").cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARD_RECORDS)
     found = rows.select("doc", "same", "text").mapInArrow(find_anchors(buckets), SENT)
     marks = found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(settle, "doc long, same long, marks binary")
-    marks = marks.groupBy("doc", "same").agg(F.collect_list("marks").alias("marks"))
-    first = rows.join(marks, ["doc", "same"], "left").select("doc_id", "doc", "same", "text", "marks")
+    marks = stored(marks.groupBy("doc", "same").agg(F.collect_list("marks").alias("marks")), "marks")
+
+    def beside(side: DataFrame, kind: str) -> DataFrame:
+        """Rows whose document is in side, or with left_anti the others; where side fits, no text is shuffled for this."""
+        return rows.join(maybe_broadcast(side.select("doc", "same"), 32), ["doc", "same"], kind)
+
+    first = beside(marks, "left_semi").join(marks, ["doc", "same"]).select("doc_id", "doc", "same", "text", "marks")
+    first = first.unionByName(beside(marks, "left_anti").withColumn("marks", F.lit(None).cast("array<binary>")).select("doc_id", "doc", "same", "text", "marks"))
     first = stored(first.mapInArrow(open_documents, OPENED), "opened")
-    done = first.where("n_bytes IS NOT NULL").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
 
     contexts = first.where("anchor IS NOT NULL").select("anchor", "doc", "same", "start", "context")
     hot = stored(contexts.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ANCHOR).select("anchor"), "hot")
     total = contexts.agg(F.sum(F.octet_length("context"))).first()[0] or 0
     shards = max(1, total // SHARD_BYTES)
-    shard = lambda *c: F.pmod(F.xxhash64(*c), F.lit(shards))
-    cold = contexts.join(hot, "anchor", "left_anti").select(shard("anchor").alias("shard"), "doc", "same", "start", "context")
+    shard = lambda *c: F.pmod(F.xxhash64(*c), F.lit(shards)).alias("shard")
+    cold = contexts.join(hot, "anchor", "left_anti").select(shard("anchor"), "doc", "same", "start", "context")
     each = contexts.join(hot, "anchor", "left_semi").select("doc", "same", "start", "context", F.explode(F.sequence(F.lit(0), F.octet_length("context") - WINDOW)).alias("i"))
     each = each.select("doc", "same", (F.col("start") + F.col("i")).alias("start"), F.substring("context", F.col("i") + 1, F.lit(WINDOW)).alias("context"))
-    cold = cold.union(each.select(shard("context").alias("shard"), "doc", "same", "start", "context"))
+    cold = cold.union(each.select(shard("context"), "doc", "same", "start", "context"))
     more = cold.repartition("shard").sortWithinPartitions("shard").mapInArrow(sort_shards, "doc long, same long, marks binary")
-    more = more.groupBy("doc", "same").agg(F.collect_list("marks").alias("more"))
-    left = first.where("text IS NOT NULL").select("doc_id", "doc", "same", "text", "marks").join(more, ["doc", "same"], "left")
-    return done.union(left.select("doc_id", "text", "marks", "more").mapInArrow(close_documents, RESULT))
+    more = stored(more.groupBy("doc", "same").agg(F.collect_list("marks").alias("more")), "more")
+
+    names = [x.split()[0] for x in RESULT.split(", ")]
+    done = first.where("anchor IS NULL").join(maybe_broadcast(more.select("doc", "same"), 32), ["doc", "same"], "left_anti").select(*names)
+    again = beside(more, "left_semi").join(more, ["doc", "same"]).join(marks, ["doc", "same"], "left")
+    return done.union(again.select("doc_id", "text", "marks", "more").mapInArrow(close_documents, RESULT))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
