@@ -26,14 +26,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_stored: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: cuts the lineage and outlives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _stored.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_stored(spark: SparkSession) -> int:
+    """Deletes what this session has stored, once the results that read it are written; returns how many folders."""
+    jvm = spark.sparkContext._jvm
+    n = 0
+    while _stored:
+        path = jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def fits(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     """Whether the counted rows of df, at so many bytes each, are within the limit."""
     bound = limit // row_bytes
