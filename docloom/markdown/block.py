@@ -377,7 +377,7 @@ class Blocks:
         for i in [at, *range(at + 2, end)]:
             row = (cells(self.lines[i][1]) + [""] * len(head))[: len(head)]
             number = self.lines[i][0]
-            node.children.append(Node("row", [Node("cell", text=c, attrs={"align": a}, first=number, last=number) for c, a in zip(row, align, strict=True)], attrs={"head": "1"} if i == at else {}, first=number, last=number))
+            node.children.append(Node("row", [Node("cell", text=c, attrs={"align": a, "row": str(len(node.children)), "column": str(k)}, first=number, last=number) for k, (c, a) in enumerate(zip(row, align, strict=True))], attrs={"head": "1"} if i == at else {}, first=number, last=number))
         return node, end
 
     def note(self, at: int):

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.markdown import parse, render
@@ -18,7 +18,7 @@ from docloom.markdown.nodes import Node
 NODES = "doc_id long, pos int, parent int, kind string, level int, text string, attrs map<string,string>, line_start int, line_end int"
 RENDERED = "doc_id long, path string, ok boolean, html string, title string, toc array<struct<level:int,text:string,id:string>>, words long, error string"
 #: Kinds whose own text is the text below them.
-GATHERED = frozenset(("heading", "paragraph", "link", "image", "term", "cell", "em", "strong", "mark", "ins", "del"))
+GATHERED = frozenset(("heading", "paragraph", "link", "image", "term", "cell", "em", "strong", "mark", "ins", "del", "definition", "footnote", "item"))
 _TOC = pa.list_(pa.struct([("level", pa.int32()), ("text", pa.string()), ("id", pa.string())]))
 _ATTRS = pa.map_(pa.string(), pa.string())
 
@@ -168,6 +168,30 @@ def footnotes(nodes: DataFrame) -> DataFrame:
     return refs.groupBy("doc_id", "label", "number").agg(F.count("*").alias("refs"))
 
 
+def footnote_texts(nodes: DataFrame) -> DataFrame:
+    """(doc_id, label, text) of the footnotes that are referred to."""
+    return nodes.where("kind = 'footnote'").select("doc_id", F.col("attrs")["label"].alias("label"), "text")
+
+
+def table_cells(nodes: DataFrame) -> DataFrame:
+    """(doc_id, pos, row, column, align, text): row 0 is the head."""
+    a = F.col("attrs")
+    return nodes.where("kind = 'cell'").select("doc_id", "pos", a["row"].cast("int").alias("row"), a["column"].cast("int").alias("column"), a["align"].alias("align"), "text")
+
+
+def definitions(nodes: DataFrame) -> DataFrame:
+    """(doc_id, pos, term, definition): each definition with the last term before it in its list."""
+    w = Window.partitionBy("doc_id", "parent").orderBy("pos")
+    rows = nodes.where("kind IN ('term', 'definition')")
+    rows = rows.withColumn("term", F.last(F.when(F.col("kind") == "term", F.col("text")), ignorenulls=True).over(w))
+    return rows.where("kind = 'definition'").select("doc_id", "pos", "term", F.col("text").alias("definition"))
+
+
+def emoji(nodes: DataFrame) -> DataFrame:
+    """(doc_id, pos, name, sign)."""
+    return nodes.where("kind = 'emoji'").select("doc_id", "pos", F.col("attrs")["name"].alias("name"), F.col("text").alias("sign"))
+
+
 def tasks(nodes: DataFrame) -> DataFrame:
     """(doc_id, done, open) counts of task items."""
     t = nodes.where("kind = 'item'").where(F.col("attrs")["task"].isNotNull())

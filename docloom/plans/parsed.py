@@ -52,6 +52,32 @@ def parsed_front_matter(spark, sf_dir):
     return T.front_matter(_nodes(spark, sf_dir))
 
 
+def parsed_images(spark, sf_dir):
+    return T.images(_nodes(spark, sf_dir)).select("doc_id", "source", "resolved", "alt")
+
+
+def parsed_autolinks(spark, sf_dir):
+    return T.autolinks(_nodes(spark, sf_dir)).where("href LIKE 'https://example.org/%'").select("doc_id", "href", "shown")
+
+
+def parsed_footnotes(spark, sf_dir):
+    nodes = _nodes(spark, sf_dir)
+    refs = T.footnotes(nodes).select("doc_id", "label", F.col("number").cast("long").alias("number"), "refs")
+    return refs.join(T.footnote_texts(nodes), ["doc_id", "label"])
+
+
+def parsed_cells(spark, sf_dir):
+    return T.table_cells(_nodes(spark, sf_dir)).select("doc_id", F.col("row").cast("long").alias("row_no"), F.col("column").cast("long").alias("column_no"), "align", "text")
+
+
+def parsed_definitions(spark, sf_dir):
+    return T.definitions(_nodes(spark, sf_dir)).drop("pos")
+
+
+def parsed_emoji(spark, sf_dir):
+    return T.emoji(_nodes(spark, sf_dir)).where("name IN ('rocket', '+1')").groupBy("name", "sign").agg(F.count("*").alias("uses"))
+
+
 def toc_filtered(spark, sf_dir):
     """Headings of each outline that have an id."""
     rows = T.toc(_nodes(spark, sf_dir))
@@ -85,7 +111,7 @@ def words_by_language(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (parsed_headings, parsed_titles, parsed_links, parsed_code, parsed_alerts, parsed_containers, parsed_abbreviations, parsed_tasks, parsed_front_matter, toc_filtered, math_spans, inline_marks, find_in_nodes, render_html, words_by_language)
+    for f in (parsed_headings, parsed_titles, parsed_links, parsed_code, parsed_alerts, parsed_containers, parsed_abbreviations, parsed_tasks, parsed_front_matter, parsed_images, parsed_autolinks, parsed_footnotes, parsed_cells, parsed_definitions, parsed_emoji, toc_filtered, math_spans, inline_marks, find_in_nodes, render_html, words_by_language)
 }
 
 _WORDS = r"CAST(len(list_filter(string_split_regex(md, '[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda x: x <> '')) AS BIGINT)"
@@ -108,6 +134,14 @@ UNION ALL SELECT doc_id, '#top', 'w', 'anchor', '', '' FROM d""",
     "parsed_abbreviations": outline.ORACLE_SQL["abbr_defs"],
     "parsed_tasks": "SELECT doc_id, CAST(1 AS BIGINT) AS done, CAST(1 AS BIGINT) AS open FROM documents",
     "parsed_front_matter": outline.ORACLE_SQL["front_matter"],
+    "parsed_images": "SELECT doc_id, 'img/' || source || '.png' AS source, '/asset?path=docs%2F' || source || '%2Fimg%2F' || source || '.png' AS resolved, 'pic ' || lang AS alt FROM documents",
+    "parsed_autolinks": "SELECT doc_id, 'https://example.org/' || doc_id AS href, 'https://example.org/' || doc_id AS shown FROM documents",
+    "parsed_footnotes": "SELECT doc_id, 'n' || doc_id % 3 AS label, CAST(1 AS BIGINT) AS number, CAST(2 AS BIGINT) AS refs, 'note of ' || source AS text FROM documents",
+    "parsed_cells": """SELECT doc_id, CAST(r AS BIGINT) AS row_no, CAST(c AS BIGINT) AS column_no, CASE c WHEN 0 THEN 'left' ELSE 'right' END AS align,
+  CASE r WHEN 0 THEN CASE c WHEN 0 THEN 'Name' ELSE 'Use' END WHEN 1 THEN CASE c WHEN 0 THEN lang ELSE '' || doc_id % 11 END ELSE CASE c WHEN 0 THEN 'b | c' ELSE '' END END AS text
+FROM documents, range(3) t(r), range(2) u(c)""",
+    "parsed_definitions": "SELECT doc_id, 'Term ' || lang AS term, CASE i WHEN 0 THEN 'meaning ' || doc_id % 5 ELSE 'second' END AS definition FROM documents, range(2) t(i)",
+    "parsed_emoji": "SELECT name, sign, (SELECT count(*) FROM documents) AS uses FROM (VALUES ('rocket', chr(128640)), ('+1', chr(128077))) v(name, sign)",
     "toc_filtered": f"WITH {outline._HEADS} SELECT doc_id, count(*) AS entries FROM heads GROUP BY doc_id",
     "words_by_language": f"""WITH {outline._HEADS}, w AS (SELECT doc_id, lang, {_WORDS} AS words FROM md), h AS (SELECT doc_id, count(*) AS n FROM heads GROUP BY 1)
 SELECT lang, CAST(sum(words) AS BIGINT) AS words, CAST(sum(n) AS BIGINT) AS headings FROM w LEFT JOIN h USING (doc_id) GROUP BY lang""",

@@ -37,6 +37,21 @@ _LINES = (
     "''",
     "'[x](docs/p', doc_id % 9, '.md#s) [y](https://example.com/', doc_id, ') [z](../img/', source, '.png) [w](#top)'",
     "''",
+    "'![pic ', lang, '](img/', source, '.png) <https://example.org/', doc_id, '> ~~old~~ :rocket: :nothing: :+1:'",
+    "''",
+    "'Claim[^n', doc_id % 3, '] and again[^n', doc_id % 3, '], not[^none].'",
+    "''",
+    "'[^n', doc_id % 3, ']: note of ', source",
+    "''",
+    "'| Name | Use |'",
+    "'|:-----|----:|'",
+    "'| ', lang, ' | ', doc_id % 11, ' |'",
+    "'| b ', chr(92), '| c |'",
+    "''",
+    "'Term ', lang",
+    "': meaning ', doc_id % 5",
+    "': second'",
+    "''",
     "'- [x] done'",
     "'- [ ] open ', doc_id % 2",
     "''",
