@@ -35,8 +35,8 @@ WORDS = (
 TAG_ID = {t: i for i, t in enumerate(TAGS)}
 WORD_ID = {w: i + 1 for i, w in enumerate(WORDS)}
 SPLIT = re.compile(r"[^a-z]+")
-#: Sizes of the kinds of evidence: tag, first and second hint word, link density, length, punctuation.
-SIZES = (len(TAGS) + 1, len(WORDS) + 2, len(WORDS) + 2, 4, 6, 3)
+#: Sizes of the kinds of evidence: tag, first and second hint word, link density, length, punctuation, place among the page's article elements.
+SIZES = (len(TAGS) + 1, len(WORDS) + 2, len(WORDS) + 2, 4, 6, 3, 5)
 LENGTHS = np.array([1, 25, 80, 250, 1000])
 #: Steps of training, their size, and the pull of every weight to 0.
 STEPS, RATE, PULL = 150, 0.15, 1e-3
@@ -72,6 +72,10 @@ def evidence(page: Page) -> np.ndarray:
     out[:, 3] = np.digitize(density, [0.001, 0.3, 0.7])
     out[:, 4] = np.digitize(size, LENGTHS)
     out[:, 5] = np.digitize(points / np.maximum(size, 1), [0.001, 0.01])
+    places = [i for i, t in enumerate(page.tags) if t == "article"]
+    out[places, 6] = 3
+    out[places[:1], 6] = 1 if len(places) == 1 else 2
+    out[[i for i, t in enumerate(page.tags) if t == "main"], 6] = 4
     return out
 
 
@@ -134,7 +138,7 @@ def default_model() -> Model:
     return fit(labelled_pages())
 
 
-def labelled_pages(count: int = 600) -> list[tuple[Page, list[bool | None]]]:
+def labelled_pages(count: int = 900) -> list[tuple[Page, list[bool | None]]]:
     """The pages of page_templates, each node marked as its nearest marked element."""
     return [marked(html) for html in page_templates.pages(count)]
 

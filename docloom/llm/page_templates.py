@@ -52,7 +52,7 @@ class Site:
         return self.r.choice((lambda: f'<nav class="label-other">{inner}</nav>', lambda: self.named("div", "nav menu navbar breadcrumb", inner), lambda: self.named("ul", "menu nav breadcrumb", self.links(3, 8))))()
 
     def banner(self) -> str:
-        inner = self.one(f"<h1>{self.words(1, 3)}</h1>", f"<p>{self.words(2, 6)}</p>", f'<a href="/">{self.words(1, 2)}</a>') + self.chance(0.4, self.menu())
+        inner = self.one(f"<h1>{self.words(1, 4)}</h1>", f"<h1>{self.words(1, 4)}</h1><p>{self.words(2, 8)}</p>", f"<p>{self.prose(1, 2)}</p>", f'<a href="/">{self.words(1, 2)}</a>') + self.chance(0.3, self.menu())
         return self.one(f'<header class="label-other">{inner}</header>', self.named("div", "header masthead banner", inner))
 
     def footer(self) -> str:
@@ -73,7 +73,7 @@ class Site:
     def form(self) -> str:
         inner = f"<label>{self.words(1, 3)}</label><input name=q>" + self.chance(0.6, f"<p>{self.prose(1, 2)}</p>") + "<button>Go</button>"
         made = f'<form class="label-other" action="/s">{inner}</form>'
-        return self.one(made, self.named("div", "newsletter subscribe signup login search", inner if self.r.random() < 0.3 else made))
+        return self.one(made, self.named("div", "newsletter subscribe signup login search", self.one(inner, made, f"<p>{self.prose(1, 3)}</p>"), 1.0))
 
     def comments(self) -> str:
         each = "".join(self.one(f'<div class="comment"><p>{self.prose(1, 3)}</p></div>', f"<li><b>{self.word()}</b> <p>{self.prose(1, 3)}</p></li>", f"<article><p>{self.prose(1, 3)}</p></article>") for _ in range(self.r.randint(1, 5)))
@@ -102,7 +102,7 @@ class Site:
 
     def article(self) -> str:
         parts = [self.paragraph() for _ in range(self.r.choice((1, 1, 2, 3, 5, 8, 13)))]
-        for made, p in ((self.advert, 0.15), (self.share, 0.12), (self.sidebar, 0.06), (self.form, 0.06), (self.notice, 0.05), (self.menu, 0.05)):
+        for made, p in ((self.advert, 0.15), (self.share, 0.12), (self.sidebar, 0.08), (self.form, 0.12), (self.notice, 0.08), (self.menu, 0.05), (self.banner, 0.1)):
             if self.r.random() < p:
                 parts.insert(self.r.randint(0, len(parts)), made())
         title = f"<h1>{self.words(1, 10)}</h1>"
@@ -122,5 +122,5 @@ class Site:
         return f'<!DOCTYPE html><html lang="x"><head><title>{self.words(2, 5)}</title></head><body>{inner}' + self.chance(0.9, "</body></html>")
 
 
-def pages(count: int = 600) -> Iterator[str]:
+def pages(count: int = 900) -> Iterator[str]:
     return (Site(seed).page() for seed in range(count))
