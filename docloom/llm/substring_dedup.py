@@ -130,7 +130,7 @@ SENT = "bucket int, records binary, doc long, same long, marks binary"
 def sent(buckets: list, records: list, doc: list, same: list, marks: list) -> pa.RecordBatch:
     a, b = len(buckets), len(doc)
     return pa.record_batch(
-        [pa.array([*buckets, *[d % 1024 for d in same]], pa.int32()), pa.array([*records, *[None] * b], pa.binary()), pa.array([*[None] * a, *doc], pa.int64()), pa.array([*[None] * a, *same], pa.int64()), pa.array([*[None] * a, *marks], pa.binary())],
+        [pa.array([*buckets, *[d % 1024 for d in doc]], pa.int32()), pa.array([*records, *[None] * b], pa.binary()), pa.array([*[None] * a, *doc], pa.int64()), pa.array([*[None] * a, *same], pa.int64()), pa.array([*[None] * a, *marks], pa.binary())],
         names=["bucket", "records", "doc", "same", "marks"],
     )
 
