@@ -146,7 +146,7 @@ def battery(found: Column) -> Column:
         ranks = F.transform(x["codes"], lambda c: rank(c, x["symbols"]))
         return F.struct(let(ranks, lambda r: random_p(r, x["symbols"])).alias("p_random"), changed(x["codes"]).alias("p_text"))
 
-    codes = lambda token: F.transform(F.split(token, "(?!^)"), lambda c: F.ascii(c))
+    codes = lambda token: F.transform(F.slice(F.split(token, "(?!^)"), 1, F.length(token)), lambda c: F.ascii(c))  # noqa: E731  the split has an empty part at the end
     return let(F.regexp_replace(found, "=+$", ""), lambda token: let(F.struct(codes(token).alias("codes"), alphabet(token).alias("symbols")), tests))
 
 
@@ -238,3 +238,73 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == KINDS.index(kind))).cast("long")
     base = F.filter("spans", lambda x: x["kind"] < KINDS.index("random"))
     return found.select("document.doc_id", *(of(k).alias(f"n_{k}") for k in ("assign", "access", "hex")), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), of("random").alias("n_random"))
+
+
+def _either(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_KEYWORDS = "|".join([*map(_either, ("password", "passwd", "secret", "token")), _either("api") + "_?" + _either("key")])
+_PATTERNS = {
+    "assign": rf"""(?:{_KEYWORDS})["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+""",
+    "access": BASE["access"],
+    "hex": BASE["hex"],
+    "random": r"[A-Za-z0-9+/_=-]{20,}",
+}
+_FOUND = "\nUNION ALL ".join(
+    f"SELECT r, {KINDS.index(kind)} AS kind, unnest(range(1, len(m) + 1)) AS i, m, g FROM (SELECT r, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS g FROM d)" for kind, p in _PATTERNS.items()
+)
+_SYMBOLS = "CASE " + " ".join(f"WHEN regexp_full_match(t, '{pattern}') THEN {size}" for _, pattern, size in ENCODINGS) + " ELSE 66 END::DOUBLE"
+_RANK = "CASE WHEN c BETWEEN 48 AND 57 THEN c - 48 WHEN c BETWEEN 97 AND 122 THEN c - 87 WHEN c BETWEEN 65 AND 90 THEN c - CASE WHEN symbols < 62 THEN 55 ELSE 29 END ELSE 62 + c % 2 END::DOUBLE"
+_TAIL = "(CASE WHEN {z} >= 0 THEN {u} ELSE 1 - {u} END)"
+
+
+def _normal_tail(z: str) -> str:
+    t = f"(1 / (1 + 0.2316419 * abs({z})))"
+    u = f"(exp(-{z} * {z} / 2) / 2.5066282746310002 * {t} * (0.319381530 + {t} * (-0.356563782 + {t} * (1.781477937 + {t} * (-1.821255978 + {t} * 1.330274429)))))"
+    return _TAIL.format(z=f"({z})", u=u)
+
+
+_LENGTH_CLASS = "CASE " + " ".join(f"WHEN size >= {at} THEN {i}" for i, at in reversed(list(enumerate(LENGTH_CLASSES)))) + " ELSE 0 END"
+_NAMES = "CASE kind " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KINDS)) + " END"
+_WRITTEN = f"string_agg({_NAMES} || ':' || a || ':' || b, ',' ORDER BY a, kind)"
+
+ORACLE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+matches AS ({_FOUND}),
+placed AS (
+  SELECT r, kind, m[i] AS t, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS a FROM matches),
+spans AS (
+  SELECT r, kind, t, a, a + length(t) AS b FROM placed
+  WHERE kind <> 0 OR length(regexp_extract(t, '^(?:{_KEYWORDS})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 6),
+base AS (SELECT * FROM spans WHERE kind < 3),
+tokens AS (SELECT r, a, b, length(t) AS size, regexp_replace(t, '=+$', '') AS t FROM spans s WHERE kind = 3 AND NOT EXISTS (SELECT 1 FROM base o WHERE o.r = s.r AND s.a < o.b AND o.a < s.b)),
+coded AS (SELECT *, {_SYMBOLS} AS symbols, list_transform(string_split(t, ''), lambda c: ascii(c)) AS codes FROM tokens),
+ranked AS (
+  SELECT *, len(codes)::DOUBLE AS n, list_transform(codes, lambda c: {_RANK}) AS ranks,
+    list_transform(codes, lambda c: CASE WHEN c BETWEEN 97 AND 122 THEN 0 WHEN c BETWEEN 65 AND 90 THEN 1 WHEN c BETWEEN 48 AND 57 THEN 2 ELSE 3 END) AS kinds FROM coded),
+sums AS (
+  SELECT *, list_sum(list_transform(list_distinct(ranks), lambda v: len(list_filter(ranks, lambda x: x = v)) ** 2)) * symbols / n - n AS chi2,
+    list_transform(ranks, lambda v: v >= (symbols - 1) / 2) AS high, list_transform(ranks, lambda v: v - list_sum(ranks) / n) AS centred,
+    list_sum(list_transform(range(2, len(codes) + 1), lambda i: (kinds[i] <> kinds[i - 1])::INT)) AS changes FROM ranked),
+more AS (
+  SELECT *, list_sum(list_transform(high, lambda h: h::INT)) AS highs, 1 + list_sum(list_transform(range(2, len(codes) + 1), lambda i: (high[i] <> high[i - 1])::INT)) AS runs,
+    list_sum(list_transform(centred, lambda x: x * x)) AS squares, list_sum(list_transform(range(2, len(codes) + 1), lambda i: centred[i] * centred[i - 1])) AS lagged FROM sums),
+scored AS (
+  SELECT *, (chi2 - (symbols - 1)) / sqrt(2 * (symbols - 1) * (n - 1) / n) AS z1, 1 + 2 * highs * (n - highs) / n AS mean_runs,
+    CASE WHEN squares > 0 THEN (lagged / squares + 1 / n) * sqrt(n) ELSE 99.0 END AS z3, changes / (n - 1) AS share FROM more),
+told AS (SELECT *, CASE WHEN mean_runs > 2 THEN (runs - mean_runs) / sqrt((mean_runs - 1) * (mean_runs - 2) / (n - 1)) ELSE 99.0 END AS z2 FROM scored),
+p AS (
+  SELECT r, a, b, {_LENGTH_CLASS} AS class, least(1.0, 3 * least({_normal_tail("z1")}, 2 * {_normal_tail("abs(z2)")}, 2 * {_normal_tail("abs(z3)")})) AS p_random,
+    CASE WHEN share > {TEXT_CHANGE} THEN exp(-(n - 1) * (share * ln(share / {TEXT_CHANGE}) + CASE WHEN share < 1 THEN (1 - share) * ln((1 - share) / (1 - {TEXT_CHANGE})) ELSE 0 END)) ELSE 1.0 END AS p_text FROM told),
+binned AS (SELECT *, CASE WHEN p_random >= {REJECT} THEN least({300 * BINS}, floor(-log10(greatest(p_text, 1e-300)) * {BINS}))::INT ELSE 0 END AS bin FROM p),
+counts AS (SELECT class, bin, count(*) AS n FROM binned GROUP BY ALL),
+cumulated AS (SELECT *, sum(n) OVER (PARTITION BY class ORDER BY bin DESC) AS above, sum(n) OVER (PARTITION BY class) AS total FROM counts),
+bars AS (SELECT class, min(bin) AS bar FROM cumulated WHERE bin > 0 AND 10 ** (-bin / {BINS}.0) <= {FALSE_SHARE} * above / total GROUP BY class),
+every AS (SELECT r, kind, a, b FROM base UNION ALL SELECT r, 3, a, b FROM binned JOIN bars USING (class) WHERE p_random >= {REJECT} AND bin >= bar),
+lists AS (
+  SELECT r, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2, count(*) FILTER (kind = 3) AS n3,
+    {_WRITTEN} FILTER (kind < 3) AS written_base, {_WRITTEN} AS written FROM every GROUP BY r)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(written_base, '')) AS base_sha256, coalesce(written, '') AS spans, coalesce(n3, 0) AS n_random
+FROM d LEFT JOIN lists USING (r)
+"""
