@@ -140,4 +140,42 @@ def judge(documents: DataFrame, reference: DataFrame | None = None) -> DataFrame
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents"))
+    return judge(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
+
+
+def _list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_CLASSES = ", ".join("length(regexp_replace(text, '{}', '', 'g'))".format(gone.replace("'", "''")) for gone in CLASSES.values())
+_WIDEST = max(map(len, COMMON_WORDS.values()))
+_COUNTS = "\n    ".join(
+    f"WHEN '{lang}' THEN list_concat(list_transform({_list(known)}, lambda k: len(list_filter(bare, lambda w: w = k))), [{', '.join(['0'] * (_WIDEST - len(known)) + [f'len(words) - len(list_filter(bare, lambda w: list_contains({_list(known)}, w)))'])}])"
+    for lang, known in COMMON_WORDS.items()
+)
+_SHARES = "CASE WHEN list_sum({0}) > 0 THEN list_transform({0}, lambda x: x / list_sum({0})::DOUBLE) END"
+_PART = "CASE WHEN {0} > 0 THEN {0} * log2(2 * {0} / ({0} + {1})) ELSE 0 END"
+_DISTANCE = "sqrt(greatest(0, list_sum(list_transform(list_zip({0}, {1}), lambda z: " + _PART.format("z[1]", "z[2]") + " + " + _PART.format("z[2]", "z[1]") + ")) / 2))"
+
+ORACLE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '{WORD_SPACE}'), lambda x: x <> '') AS words, list_filter(string_split(text, chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '') AS lines FROM d),
+threes AS (SELECT r, i, count(*) OVER (PARTITION BY r, words[i], words[i + 1], words[i + 2]) AS n FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) > 2)),
+repeated AS (SELECT r, count(DISTINCT i + k) AS n FROM threes, range(3) t(k) WHERE threes.n > 1 GROUP BY r),
+f AS (
+  SELECT w.r, doc_id, lang, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, length(regexp_replace(text, '{SYMBOLS}', '', 'g'))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(p.n, 0)::BIGINT AS n_repeat_words, length(text) AS n_chars, words, list_transform(words, lambda x: lower(rtrim(x, '.,;:!?'))) AS bare, [{_CLASSES}] AS kinds
+  FROM w LEFT JOIN repeated p USING (r)),
+h AS (SELECT *, list_append(kinds, n_chars - list_sum(kinds)) AS cls, CASE lang {_COUNTS} END AS com FROM f),
+cls_sums AS (SELECT lang, list(n ORDER BY k) AS ref_cls FROM (SELECT lang, k, sum(cls[k]) AS n FROM h, range(1, {len(CLASSES) + 2}) t(k) GROUP BY ALL) GROUP BY lang),
+com_sums AS (SELECT lang, list(n ORDER BY k) AS ref_com FROM (SELECT lang, k, sum(com[k]) AS n FROM h, range(1, {_WIDEST + 2}) t(k) WHERE com IS NOT NULL GROUP BY ALL) GROUP BY lang),
+shares AS (
+  SELECT h.*, {_SHARES.format("cls")} AS p1, {_SHARES.format("ref_cls")} AS q1, {_SHARES.format("com")} AS p2, {_SHARES.format("ref_com")} AS q2
+  FROM h JOIN cls_sums USING (lang) LEFT JOIN com_sums USING (lang)),
+told AS (
+  SELECT *, CASE WHEN p1 IS NOT NULL AND q1 IS NOT NULL THEN {_DISTANCE.format("p1", "q1")} END AS cd, CASE WHEN p2 IS NOT NULL AND q2 IS NOT NULL THEN {_DISTANCE.format("p2", "q2")} END AS wd,
+    n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM shares)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (n_chars >= {MIN_CHARS} AND coalesce(cd > {MAX_CLASS_DISTANCE}, false)) AND NOT (n_words >= {MIN_WORDS} AND coalesce(wd > {MAX_WORD_DISTANCE}, false)) AS kept
+FROM told
+"""
