@@ -48,6 +48,30 @@ def clear_stored(spark: SparkSession) -> int:
     return n
 
 
+#: Bytes of an Arrow batch, so that long texts don't fill a worker.
+BATCH_BYTES = 4 * 1024 * 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to BATCH_BYTES; a batch has one row at least."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def wrapped(documents: DataFrame) -> DataFrame:
+    """(text, document): the text, never null, and all else of documents(text, ...) in one column that no name can clash with."""
+    rest = F.struct(*(F.col(f"`{c}`") for c in documents.columns if c != "text"))
+    document = F.struct(rest.alias("rest"), F.col("text").isNull().alias("no_text"))
+    return documents.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), document.alias("document"))
+
+
+def unwrapped(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The documents with these columns that wrapped has made rows(text, document) of."""
+    text = F.when(~F.col("document.no_text"), F.col("text"))
+    return rows.select(*((text if c == "text" else F.col(f"document.rest.`{c}`")).alias(c) for c in columns))
+
+
 def fits(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     """Whether the counted rows of df, at so many bytes each, are within the limit."""
     bound = limit // row_bytes

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import page_templates
-from docloom.llm.common import table
+from docloom.llm.common import small_batches, table
 from docloom.llm.dom import Page, read
 
 BOILERPLATE, CONTENT, MIXED = range(3)
@@ -216,6 +216,7 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     like any text run; repeated rows are answered each; other columns are ignored; an empty table
     gives no rows. The model is some kilobytes, whatever the number of pages.
     """
+    small_batches(pages.sparkSession)
     model = model or default_model()
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(extractor(model), "page_id long, url string, text string")

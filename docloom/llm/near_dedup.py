@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import maybe_broadcast, stored, table
+from docloom.llm.common import maybe_broadcast, small_batches, stored, table, unwrapped, wrapped
 from docloom.llm.graph import components
 from docloom.llm.tokens import hash_words, mix
 
@@ -213,7 +213,8 @@ def classified(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     a null doc_id is a row like others (and the class_id only of a class without another id);
     other columns are kept in document; an empty table gives no rows.
     """
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(F.struct(*(F.col(f"`{c}`") for c in documents.columns if c != "text")).alias("rest"), F.col("text").isNull().alias("no_text")).alias("document"))
+    small_batches(documents.sparkSession)
+    rows = wrapped(documents).select(F.monotonically_increasing_id().alias("row"), F.col("document.rest.doc_id").cast("long").alias("doc_id"), "text", "document")
     schema = T.StructType([*rows.schema.fields, *(T.StructField(c, T.LongType()) for c in ("same1", "same2", "n")), T.StructField("bands", T.ArrayType(T.LongType()))])
     signed = stored(rows.mapInArrow(sign, schema), "signed")
     first = stored(signed.groupBy("same1", "same2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least")), "copies")
@@ -287,8 +288,7 @@ def without_copies(documents: DataFrame) -> DataFrame:
     rows, members = classified(documents)
     gone = stored(members.where("NOT kept").select("row"), "gone")
     rows = rows.join(maybe_broadcast(gone, 16), "row", "left_anti")
-    whole = {c: F.col(f"document.rest.`{c}`") for c in documents.columns if c != "text"} | {"text": F.when(~F.col("document.no_text"), F.col("text"))}
-    return rows.select(*(whole[c].alias(c) for c in documents.columns))
+    return unwrapped(rows, documents.columns)
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

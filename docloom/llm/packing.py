@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import stored, table
+from docloom.llm.common import small_batches, stored, table
 
 SEQUENCE = 1024
 #: Id that ends each document.
@@ -140,6 +140,7 @@ def pack(documents: DataFrame, tokenizer_path: str | None = None, size: int = SE
     other columns are ignored; an empty table gives no rows.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     path = tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tokens = stored(rows.mapInArrow(tokenise(str(path)), "doc_id long, n long, key long, ids binary"), "tokens")

@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import maybe_broadcast, stored, table
+from docloom.llm.common import maybe_broadcast, small_batches, stored, table
 from docloom.llm.induced import common_prefix, suffix_array
 from docloom.llm.tokens import chunks, mix, powers, text_bytes
 
 WINDOW, PART = 100, 32
 #: Anchors that a task combines before it sends them; bytes of records and of contexts that make a shard.
-COMBINED, SHARD_RECORDS, SHARD_BYTES = 1 << 20, 4 << 20, 1 << 20
+COMBINED, SHARD_RECORDS, SHARD_BYTES = 1 << 19, 4 << 20, 1 << 20
 #: Contexts of one anchor beyond which they are dealt by window.
 HOT_ANCHOR = 4096
 #: Record: anchor and context hash, document, start of the context in it and its number of windows (0: the anchor has many contexts).
@@ -358,6 +358,7 @@ def deduplicate(documents: DataFrame) -> DataFrame:
     ordered by a hash of their text; other columns are ignored; an empty table gives no rows.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63))))
     twice = stored(rows.groupBy("doc").agg(F.count("*").alias("rows")).where("rows > 1").select("doc", F.lit(True).alias("twice")), "twice")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import maybe_broadcast, stored, table
+from docloom.llm.common import maybe_broadcast, small_batches, stored, table, unwrapped, wrapped
 from docloom.llm.tokens import hash_words
 
 #: Most words and bigrams of the model; words and bigrams need so many occurrences.
@@ -185,11 +185,11 @@ def ratios(model: Model, column: pa.Array) -> np.ndarray:
 
 
 def scorer(model, names: list[str]):
-    """Batches of (text, *names) to (*names, ratio)."""
+    """Batches of columns with text first to those named and ratio."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([*batch.columns[1:], pa.array(ratios(model.value, batch.column(0)))], names=[*names, "ratio"])
+            yield pa.record_batch([*(batch.column(n) for n in names), pa.array(ratios(model.value, batch.column(0)))], names=[*names, "ratio"])
 
     return run
 
@@ -213,6 +213,7 @@ def learn(documents: DataFrame, labels: DataFrame, folds: tuple[int, ...] = tupl
     A null doc_id is in no fold; of several labels of a doc_id the largest holds, null labels don't
     count. Without labels of both classes every score is that of the curve at 0.
     """
+    small_batches(documents.sparkSession)
     rows = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id"), fold(F.col("doc_id")).alias("fold"), (F.col("toxic") > 0).alias("toxic"))
     known = known.where(F.col("fold").isin(*folds)).groupBy("doc_id", "fold").agg(F.max("toxic").alias("toxic"))
@@ -228,13 +229,12 @@ def learn(documents: DataFrame, labels: DataFrame, folds: tuple[int, ...] = tupl
     return model, *logistic(x * step, y, n)
 
 
-def scored(documents: DataFrame, learned: tuple[Model, float, float]) -> DataFrame:
-    """documents(text, ...) with document (all columns as they came), ratio and score for every row."""
+def scored(rows: DataFrame, learned: tuple[Model, float, float], names: list[str]) -> DataFrame:
+    """The named columns of rows(text, ...), of which text comes first, with ratio and score."""
     model, intercept, slope = learned
-    sent = documents.sparkSession.sparkContext.broadcast(model)
-    rows = documents.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct("*").alias("document"))
-    schema = T.StructType([rows.schema["document"], T.StructField("ratio", T.DoubleType())])
-    rows = rows.mapInArrow(scorer(sent, ["document"]), schema)
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([*(rows.schema[n] for n in names), T.StructField("ratio", T.DoubleType())])
+    rows = rows.mapInArrow(scorer(sent, names), schema)
     return rows.withColumn("score", 1 / (1 + F.exp(-(F.lit(intercept) + F.lit(slope) * F.col("ratio")))))
 
 
@@ -245,14 +245,15 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
     rows are scored each; other columns are ignored; an empty table gives no rows. For labels see
     learn.
     """
-    rows = scored(documents.select("doc_id", "text"), learn(documents, labels))
-    doc_id = F.col("document.doc_id")
-    return rows.select(doc_id.alias("doc_id"), (fold(doc_id) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "ratio")
+    rows = documents.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "doc_id")
+    rows = scored(rows, learn(documents, labels), ["doc_id"])
+    return rows.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "ratio")
 
 
 def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of documents, with all their columns, that are not predicted to be toxic."""
-    return scored(documents, learn(documents, labels)).where("score < 0.5").select("document.*")
+    rows = scored(wrapped(documents), learn(documents, labels), ["text", "document"])
+    return unwrapped(rows.where("score < 0.5"), documents.columns)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
