@@ -293,3 +293,21 @@ def without_copies(documents: DataFrame) -> DataFrame:
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))
+
+
+_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+#: Exact classes, where the operator's candidates come from signatures; doc_ids are taken as unique.
+ORACLE_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - {SHINGLE - 1}, 1) + 1), lambda i: array_to_string(w[i : i + {SHINGLE - 1}], ' '))) AS shingle FROM d WHERE len(w) > 0),
+c AS (SELECT doc_id, shingle, count(*) AS n FROM s GROUP BY ALL),
+t AS (SELECT doc_id, sum(n) AS n FROM c GROUP BY ALL),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.n, b.n)) AS n FROM c a JOIN c b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM shared JOIN t a ON a.doc_id = x JOIN t b ON b.doc_id = y WHERE shared.n * {SIMILAR[1]} >= (a.n + b.n - shared.n) * {SIMILAR[0]}
+  UNION ALL SELECT min(doc_id) OVER (), doc_id FROM d WHERE len(w) = 0),
+edges AS (SELECT x AS a, y AS b FROM links UNION SELECT y, x FROM links),
+reach(node, met) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.met)
+SELECT node AS doc_id, min(met) AS class_id, node = min(met) AS kept FROM reach GROUP BY node
+"""

@@ -23,6 +23,10 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": decontamination.ORACLE_SQL,
+        "op3_secret_scan": secret_scan.ORACLE_SQL,
+        "op4_near_dedup": near_dedup.ORACLE_SQL,
+        "op5_quality_rules": quality_rules.ORACLE_SQL,
+        "op6_substring_dedup": substring_dedup.ORACLE_SQL,
         "op8_license_scan": license_scan.ORACLE_SQL,
         "op10_url_filter": url_filter.ORACLE_SQL,
     }

@@ -398,3 +398,21 @@ def deduplicate(documents: DataFrame) -> DataFrame:
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents")).drop("spans")
+
+
+#: doc_ids are taken as unique.
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (SELECT doc_id, i, substr(h, 2 * i + 1, {2 * WINDOW}) AS w FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - {WINDOW - 1})) AS i FROM d WHERE length(h) >= {2 * WINDOW})),
+starts AS (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1),
+gaps AS (SELECT *, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > {WINDOW}, true) AS new FROM starts),
+runs AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM gaps),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + {WINDOW} AS b FROM runs GROUP BY doc_id, run),
+parts AS (
+  SELECT s.doc_id, a AS pos, substr(h, 2 * lag(b, 1, 0) OVER (PARTITION BY s.doc_id ORDER BY a) + 1, 2 * (a - lag(b, 1, 0) OVER (PARTITION BY s.doc_id ORDER BY a))) AS part FROM spans s JOIN d USING (doc_id)
+  UNION ALL SELECT d.doc_id, length(h) AS pos, substr(h, 2 * coalesce(e.b, 0) + 1) AS part FROM d LEFT JOIN (SELECT doc_id, max(b) AS b FROM spans GROUP BY 1) e USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(part, '' ORDER BY pos) AS k FROM parts GROUP BY 1),
+counted AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS n FROM spans GROUP BY 1)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN counted USING (doc_id)
+"""
