@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 import tempfile
 import uuid
@@ -55,7 +56,9 @@ BATCH_BYTES = 4 * 1024 * 1024
 def small_batches(spark: SparkSession) -> None:
     """Holds the session's Arrow batches to BATCH_BYTES; a batch has one row at least."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([a-z]*)\s*", spark.conf.get(key).lower()).groups()
+    size = int(number) << 10 * " kmgtp".index(unit[:1] if unit[:1] in "kmgtp" and unit else " ")
+    if not 0 < size <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import maybe_broadcast, small_batches, stored, table
 from docloom.llm.induced import common_prefix, suffix_array
-from docloom.llm.tokens import chunks, mix, powers, text_bytes
+from docloom.llm.tokens import CHUNK, chunks, mix, powers, text_bytes
 
 WINDOW, PART = 100, 32
 #: Anchors that a task combines before it sends them; bytes of records and of contexts that make a shard.
@@ -161,6 +161,18 @@ def combine(held: list[np.ndarray], buckets: int) -> pa.RecordBatch:
     return sent(ids, [pack(p) for p in parts], *marked(np.r_[gone["doc"], open_["doc"]], np.r_[gone["same"], open_["same"]], marks))
 
 
+def pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """Ranges of rows, with the bytes left out before them, their bytes and offsets. A long row comes in parts that overlap by a window less one byte: a context that is cut there is not lost but only left open."""
+    for i, j in chunks(offsets):
+        part = data[offsets[i] : offsets[j]]
+        if j == i + 1 and len(part) > 2 * CHUNK:
+            for a in range(0, len(part), CHUNK):
+                own = part[a : a + CHUNK + WINDOW - 1]
+                yield i, j, a, own, np.array([0, len(own)])
+        else:
+            yield i, j, 0, part, offsets[i : j + 1] - offsets[i]
+
+
 def find_anchors(buckets: int):
     """Batches of (doc, same, text) to SENT."""
 
@@ -169,11 +181,10 @@ def find_anchors(buckets: int):
         for batch in batches:
             doc, same = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             data, offsets = text_bytes(batch.column(2))
-            for i, j in chunks(offsets):
-                at = offsets[i : j + 1] - offsets[i]
-                row, anchor, context, start, n = anchors_of(data[offsets[i] : offsets[j]], at)
+            for i, j, skip, part, at in pieces(data, offsets):
+                row, anchor, context, start, n = anchors_of(part, at)
                 r = np.zeros(len(row), RECORD)
-                r["anchor"], r["context"], r["doc"], r["same"], r["start"], r["n"] = anchor | np.uint64(1), context, doc[i + row], same[i + row], start - at[row], n
+                r["anchor"], r["context"], r["doc"], r["same"], r["start"], r["n"] = anchor | np.uint64(1), context, doc[i + row], same[i + row], start - at[row] + skip, n
                 held.append(r)
                 size += len(r)
                 if size >= COMBINED:

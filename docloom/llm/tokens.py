@@ -64,26 +64,50 @@ def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def _hashed(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of rows of bytes, and n + 1 offsets of the rows' words."""
+    x = _LOWER[data]
+    n = len(x)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+    word = x != 0
+    edge = np.zeros(n + 1, bool)  # where a row begins
+    edge[at] = True
+    first = word.copy()
+    first[1:] &= ~word[:-1] | edge[1:n]
+    last = word.copy()
+    last[:-1] &= ~word[1:] | edge[1:n]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last)
+    up, down = powers(n)
+    total = np.cumsum(x * up[:n], dtype=np.uint64)
+    before = np.where(starts > 0, total[starts - 1], np.uint64(0)) if len(starts) else np.zeros(0, np.uint64)
+    hashes = mix((total[ends] - before) * down[starts] + (ends - starts).astype(np.uint64))
+    return hashes, np.searchsorted(starts, at)
+
+
+def _long_row(data: np.ndarray) -> np.ndarray:
+    """Hashes of the words of one long row, a chunk at a time; a chunk ends between words, however long they are."""
+    out, at = [], 0
+    while at < len(data):
+        end = min(len(data), at + CHUNK)
+        while end < len(data):
+            gaps = np.flatnonzero(_LOWER[data[end : end + CHUNK]] == 0)
+            if len(gaps):
+                end += int(gaps[0])
+                break
+            end = min(len(data), end + CHUNK)
+        out.append(_hashed(data[at:end], np.array([0, end - at]))[0])
+        at = end
+    return np.concatenate(out)
+
+
 def hash_words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For ranges of rows: first row, end row, the words' hashes, and n + 1 offsets of the rows' words."""
     data, offsets = text_bytes(column)
-    for i, j in chunks(offsets):
-        at = offsets[i : j + 1] - offsets[i]
-        x = _LOWER[data[offsets[i] : offsets[j]]]
-        n = len(x)
-        if not n:
-            yield i, j, np.zeros(0, np.uint64), np.zeros(j - i + 1, np.int64)
-            continue
-        word = x != 0
-        edge = np.zeros(n + 1, bool)  # where a row begins
-        edge[at] = True
-        first = word.copy()
-        first[1:] &= ~word[:-1] | edge[1:n]
-        last = word.copy()
-        last[:-1] &= ~word[1:] | edge[1:n]
-        starts, ends = np.flatnonzero(first), np.flatnonzero(last)
-        up, down = powers(n)
-        total = np.cumsum(x * up[:n], dtype=np.uint64)
-        before = np.where(starts > 0, total[starts - 1], np.uint64(0)) if len(starts) else np.zeros(0, np.uint64)
-        hashes = mix((total[ends] - before) * down[starts] + (ends - starts).astype(np.uint64))
-        yield i, j, hashes, np.searchsorted(starts, at)
+    for i, j in chunks(offsets, CHUNK):
+        part = data[offsets[i] : offsets[j]]
+        if j == i + 1 and len(part) > 2 * CHUNK:
+            hashes = _long_row(part)
+            yield i, j, hashes, np.array([0, len(hashes)])
+        else:
+            yield i, j, *_hashed(part, offsets[i : j + 1] - offsets[i])

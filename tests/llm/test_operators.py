@@ -225,7 +225,6 @@ def test_substring_dedup(documents, empty):
 
 def test_substring_dedup_at_hot_anchors(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "HOT_ANCHOR", 3)
-    monkeypatch.setattr(substring_dedup, "COMBINED", 64)
     r = random.Random(8)
     line = "".join(r.choice("abcdefgh ") for _ in range(90))
     rows = [(i, "".join(r.choice("ab") for _ in range(r.randint(0, 30))) + line + r.choice(("x" * 20, "y" * 40, "z" * 15 + str(i % 5) * 30))) for i in range(80)]
@@ -379,3 +378,30 @@ def test_url_filter(spark):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
+
+
+def test_long_rows_come_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    from docloom.llm import tokens
+
+    rows = pa.array(["ab cd é " * 500, "x" * 5000 + " y", "", "A b", "z " * 3000])
+    whole = [h.tolist() for *_, hashes, at in tokens.hash_words(rows) for h in np.split(hashes, at[1:-1])]
+    monkeypatch.setattr(tokens, "CHUNK", 100)
+    assert [h.tolist() for *_, hashes, at in tokens.hash_words(rows) for h in np.split(hashes, at[1:-1])] == whole
+
+
+def test_each_window_of_long_rows_has_one_anchor(monkeypatch):
+    from docloom.llm import tokens
+
+    monkeypatch.setattr(substring_dedup, "CHUNK", 700)
+    monkeypatch.setattr(tokens.chunks, "__defaults__", (700,))
+    r = np.random.default_rng(10)
+    sizes = [2500, 0, 99, 100, 5000, 640, 1400, 1401]
+    data, offsets = r.integers(97, 100, sum(sizes)).astype(np.uint8), np.cumsum([0, *sizes])
+    seen = [np.zeros(max(0, n - 99), int) for n in sizes]
+    for i, _, skip, part, at in substring_dedup.pieces(data, offsets):
+        row, _, _, start, n = substring_dedup.anchors_of(part, at)
+        for k, s, c in zip(row, start - at[row] + skip, n, strict=True):
+            seen[i + k][s : s + c] += 1
+    assert all((s == 1).all() for s in seen)

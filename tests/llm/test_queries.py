@@ -66,3 +66,12 @@ def test_secret_sql_finds_the_same_random_tokens(spark):
     want = con.execute(f"SELECT doc_id, spans FROM ({secret_scan.ORACLE_SQL})").fetchall()
     assert sorted(map(tuple, got)) == sorted(want)
     assert sum("random" in s for _, s in want) > 100
+
+
+@pytest.mark.parametrize(("set_to", "then"), [("64m", common.BATCH_BYTES), ("67108864b", common.BATCH_BYTES), ("1k", "1k"), ("2mb", "2mb"), ("4096", "4096")])
+def test_batches_are_bounded(spark, set_to, then):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, set_to)
+    common.small_batches(spark)
+    assert spark.conf.get(key).removesuffix("b") == str(then).removesuffix("b")
+    spark.conf.unset(key)
