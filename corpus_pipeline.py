@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm import decontamination, near_dedup, packing, secret_scan, toxicity
-from docloom.llm.common import stored, table
+from docloom.llm.common import clear_stored, stored, stored_so_far, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +46,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written to the shared folder and read again."""
+    """All stages over documents; what a stage returns is written to the shared folder and read again, and what it stored on the way is deleted."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        mark = stored_so_far()
         docs = stored(stage(spark, docs, sf_dir), name)
+        clear_stored(spark, mark, keep_last=True)
     return STAGES[-1][1](spark, docs, sf_dir)

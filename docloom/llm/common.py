@@ -39,12 +39,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_stored(spark: SparkSession) -> int:
-    """Deletes what this session has stored, once the results that read it are written; returns how many folders."""
+def stored_so_far() -> int:
+    """A mark for clear_stored."""
+    return len(_stored)
+
+
+def clear_stored(spark: SparkSession, since: int = 0, keep_last: bool = False) -> int:
+    """Deletes what this session has stored since a mark (but for the last table), once the results that read it are written; returns how many folders."""
     jvm = spark.sparkContext._jvm
-    n = 0
-    while _stored:
-        path = jvm.org.apache.hadoop.fs.Path(_stored.pop())
+    end = len(_stored) - keep_last
+    gone, n = _stored[since:end], 0
+    del _stored[since:end]
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     return n
 
