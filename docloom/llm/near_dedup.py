@@ -240,7 +240,7 @@ def classified(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The rows of buckets that hold several components, with the component."""
         marked = rows.join(maybe_broadcast(labels, 32).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         many = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        return stored(marked.join(many, "key"), "left")
+        return stored(marked.join(maybe_broadcast(stored(many, "many"), 16), "key"), "left")
 
     def joined(pairs: DataFrame) -> None:
         """Verifies pairs that were not asked before, and joins the components of those that are similar."""
