@@ -391,7 +391,9 @@ def deduplicate(documents: DataFrame) -> DataFrame:
 
     contexts = first.where("anchor IS NOT NULL").select("anchor", "doc", "same", "start", "context")
     hot = stored(contexts.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ANCHOR).select("anchor"), "hot")
-    total = contexts.agg(F.sum(F.octet_length("context"))).first()[0] or 0
+    bytes_ = F.octet_length("context")
+    dealt = F.when(F.col("hot"), (bytes_ - WINDOW + 1) * WINDOW).otherwise(bytes_)  # a hot anchor's windows come one by one
+    total = contexts.join(maybe_broadcast(hot, 16).withColumn("hot", F.lit(True)), "anchor", "left").agg(F.sum(dealt.cast("long"))).first()[0] or 0
     shards = max(1, total // SHARD_BYTES)
     shard = lambda *c: F.pmod(F.xxhash64(*c), F.lit(shards)).alias("shard")
     cold = contexts.join(hot, "anchor", "left_anti").select(shard("anchor"), "doc", "same", "start", "context")
