@@ -143,6 +143,7 @@ FROM documents, range(3) t(r), range(2) u(c)""",
     "parsed_definitions": "SELECT doc_id, 'Term ' || lang AS term, CASE i WHEN 0 THEN 'meaning ' || doc_id % 5 ELSE 'second' END AS definition FROM documents, range(2) t(i)",
     "parsed_emoji": "SELECT name, sign, (SELECT count(*) FROM documents) AS uses FROM (VALUES ('rocket', chr(128640)), ('+1', chr(128077))) v(name, sign)",
     "toc_filtered": f"WITH {outline._HEADS} SELECT doc_id, count(*) AS entries FROM heads GROUP BY doc_id",
+    "find_in_nodes": "SELECT doc_id, CAST(1 + (length(lower(text)) - length(replace(lower(text), 'alias', ''))) / 5 AS BIGINT) AS hits FROM documents",
     "words_by_language": f"""WITH {outline._HEADS}, w AS (SELECT doc_id, lang, {_WORDS} AS words FROM md), h AS (SELECT doc_id, count(*) AS n FROM heads GROUP BY 1)
 SELECT lang, CAST(sum(words) AS BIGINT) AS words, CAST(sum(n) AS BIGINT) AS headings FROM w LEFT JOIN h USING (doc_id) GROUP BY lang""",
 }
