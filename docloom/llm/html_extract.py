@@ -151,26 +151,30 @@ def marked(html: str) -> tuple[Page, list[bool | None]]:
     return page._replace(hints=[h.replace("label-content", "").replace("label-other", "").strip() for h in page.hints]), marks
 
 
-def log_sum(x: np.ndarray) -> np.ndarray:
-    top = x.max(axis=-1, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis=-1, keepdims=True)))[..., 0]
+def scaled(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of logs as numbers of 1 at most, and the logs of their scales."""
+    top = logs.max(axis=1, keepdims=True)
+    return np.exp(logs - top), top
 
 
 def marginals(model: Model, trees: Forest, with_edges: bool = False):
     """Probabilities of the states of every node, by messages up and then down, a depth at a time; with_edges also the expected counts of parent's and child's states."""
-    own = sum(w[:, trees.seen[:, k]].T for k, w in enumerate(model.shown))
+    own = sum(w.T[trees.seen[:, k]] for k, w in enumerate(model.shown))
+    tie = np.exp(model.step)
     up, sent = own.copy(), np.zeros_like(own)
     for at in trees.levels[:0:-1]:
-        sent[at] = log_sum(model.step[None] + up[at][:, None, :])
+        below, scale = scaled(up[at])
+        sent[at] = np.log(below @ tie.T) + scale
         np.add.at(up, trees.parents[at], sent[at])
     belief, edges = up.copy(), np.zeros((3, 3))
     for at in trees.levels[1:]:
-        apart = belief[trees.parents[at]] - sent[at]
-        belief[at] = up[at] + log_sum(apart[:, None, :] + model.step.T[None])
+        above, scale = scaled(belief[trees.parents[at]] - sent[at])
+        belief[at] = up[at] + np.log(above @ tie) + scale
         if with_edges:
-            both = apart[:, :, None] + model.step[None] + up[at][:, None, :]
-            edges += np.exp(both - log_sum(both.reshape(len(at), 9))[:, None, None]).sum(axis=0)
-    nodes = np.exp(belief - log_sum(belief)[:, None])
+            below, _ = scaled(up[at])
+            edges += tie * ((above / ((above @ tie) * below).sum(axis=1, keepdims=True)).T @ below)
+    nodes, _ = scaled(belief)
+    nodes /= nodes.sum(axis=1, keepdims=True)
     return (nodes, edges) if with_edges else nodes
 
 
