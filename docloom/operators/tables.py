@@ -54,9 +54,16 @@ def _nodes(windows: bool):
     return run
 
 
+#: Inputs up to this size are dealt to all cores before they are parsed.
+DEALT_BYTES = 256 * 1024 * 1024
+
+
 def _source(docs: DataFrame) -> DataFrame:
+    """(doc_id, path, md); a small input, which may lie in one file, is dealt out, as parsing costs far more than its shuffle. A larger one stays where it is read."""
     path = F.col("path").cast("string") if "path" in docs.columns else F.lit("")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), path.alias("path"), F.col("md").cast("string").alias("md"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), path.alias("path"), F.col("md").cast("string").alias("md"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(docs.sparkSession.sparkContext.defaultParallelism) if size <= DEALT_BYTES else rows
 
 
 def parse_nodes(docs: DataFrame, windows: bool = False) -> DataFrame:
