@@ -405,3 +405,12 @@ def test_each_window_of_long_rows_has_one_anchor(monkeypatch):
         for k, s, c in zip(row, start - at[row] + skip, n, strict=True):
             seen[i + k][s : s + c] += 1
     assert all((s == 1).all() for s in seen)
+
+
+def test_copies_without_broadcast(documents, monkeypatch):
+    from docloom.llm import graph
+
+    usual = [sorted(map(str, f(documents).collect())) for f in (near_dedup.near_classes, substring_dedup.deduplicate)]
+    for module in (graph, near_dedup, substring_dedup):
+        monkeypatch.setattr(module, "maybe_broadcast", lambda df, *a: df.hint("merge"))
+    assert [sorted(map(str, f(documents).collect())) for f in (near_dedup.near_classes, substring_dedup.deduplicate)] == usual
