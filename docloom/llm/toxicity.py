@@ -6,9 +6,10 @@ more, so an expression too rare or too even to tell the classes apart is left to
 Kneser-Ney model of all text: discounted bigrams over continuation counts. A document's score is the
 difference of its two log-likelihoods by length, put on 0 to 1 by a logistic curve.
 
-Counting is distributed and covers every labelled row. What goes to the driver and the executors is
-bounded by VOCABULARY and BIGRAMS: rarer words are one unknown word, and the probability of bigrams
-that don't fit goes to the backoff.
+Counts and continuation counts are stored tables of all words and bigrams of the learned rows, and grow
+with them. Where neither word nor bigram has anything left of a class's counts, the two likelihoods differ
+by one constant; so only telling words and telling bigrams are looked up, by 64-bit hashes. Workers get
+them all while these fit a broadcast, else documents are joined to them, key by key.
 """
 
 from __future__ import annotations
@@ -22,11 +23,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import maybe_broadcast, small_batches, stored, table, unwrapped, wrapped
-from docloom.llm.tokens import hash_words
+from docloom.llm.common import fits, maybe_broadcast, small_batches, stored, table, unwrapped, wrapped
+from docloom.llm.tokens import hash_words, mix
 
-#: Most words and bigrams of the model; words and bigrams need so many occurrences.
-VOCABULARY, BIGRAMS = 65_535, 500_000
+#: Words and bigrams need so many occurrences to tell classes apart; all are counted.
 MIN_WORD, MIN_BIGRAM = 3, 3
 #: Discount of the bigrams of all text, and least discount of a class's counts.
 DISCOUNT = 0.75
@@ -38,6 +38,10 @@ FOLDS, CURVE_FOLD = 5, 4
 BINS = 4096
 #: Distinct counts held by a worker before it hands them on.
 HELD = 1 << 21
+#: Values are whole multiples of this and excesses of GRAIN, so that their sums don't depend on the order.
+STEP, GRAIN = 2.0**-32, 2.0**-20
+#: A bigram's hash is that of its first word times this plus that of its second, mixed.
+PAIR = np.uint64(0xD6E8FEB86659FD93)
 
 
 def fold(doc_id: Column) -> Column:
@@ -45,155 +49,170 @@ def fold(doc_id: Column) -> Column:
 
 
 class Model(NamedTuple):
-    words: np.ndarray  # sorted hashes; a word's id is 1 + its place, 0 is the unknown word
-    pairs: np.ndarray  # sorted first id * width + second id
-    gain: np.ndarray  # for each pair, and ordinary, toxic and all text: discounted probability
-    back: np.ndarray  # for each first id and the same three: weight of the backoff
-    share: np.ndarray  # for each id: continuation probability in all text
-    lift: np.ndarray  # for each id, and ordinary and toxic text: probability over that in all text
+    signals: DataFrame  # stored (key, value): hash of a word or bigram, what an occurrence adds to base
+    base: float  # log-likelihood of a word as toxic less that as ordinary, where nothing tells
 
 
-def ids_of(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    if not len(words):
-        return np.zeros(len(hashes), np.int64)
-    at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-    return np.where(words[at] == hashes, at + 1, 0)
+def bigram(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(first * PAIR + second)
 
 
-def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-    keys, at = np.unique(keys, return_inverse=True)
-    out = np.zeros((len(keys), 2), np.int64)
-    np.add.at(out, at, counts)
-    return keys, out
+def words_before(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The word before each; 0 before a row's first."""
+    out = np.zeros(len(hashes) + 1, np.uint64)
+    out[1:] = hashes
+    out[at] = 0
+    return out[:-1]
 
 
-def counter(words: np.ndarray | None):
-    """Batches of (text, toxic) to (key, n0, n1): words, or with words given pairs of word ids."""
+def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    key, v, w, n0, n1 = (np.concatenate(x) for x in zip(*parts, strict=True))
+    key, first, at = np.unique(key, return_index=True, return_inverse=True)
+    return key, v[first], w[first], *(np.bincount(at, n, len(key)).astype(np.int64) for n in (n0, n1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(parts):
-            keys, counts = merged(parts)
-            return pa.record_batch([pa.array(keys.view(np.int64)), pa.array(counts[:, 0]), pa.array(counts[:, 1])], names=["key", "n0", "n1"])
 
-        parts: list = []
-        for batch in batches:
-            toxic = np.asarray(batch.column(1).to_pylist(), bool)
-            for i, j, hashes, at in hash_words(batch.column(0)):
-                label = np.repeat(toxic[i:j], np.diff(at))
-                if words is None:
-                    keys = hashes
-                else:
-                    ids = ids_of(words, hashes)
-                    first = np.zeros(len(ids) + 1, bool)
-                    first[at] = True  # a row's first word follows the start, which shares id 0
-                    keys = (np.where(first[:-1], 0, np.r_[0, ids[:-1]]) * (len(words) + 1) + ids).astype(np.uint64)
-                for c in (0, 1):
-                    found, n = np.unique(keys[label == c], return_counts=True)
-                    counts = np.zeros((len(found), 2), np.int64)
-                    counts[:, c] = n
-                    parts.append((found, counts))
-            if sum(len(k) for k, _ in parts) > HELD:
-                parts = [merged(parts)]
-                if len(parts[0][0]) > HELD // 2:
-                    yield out(parts)
-                    parts = []
-        if parts:
-            yield out(parts)
+def counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (text, toxic) to (v, w, n0, n1): counts of the bigrams by class; v is 0 before a row's first word."""
 
-    return run
+    def out(found):
+        _, v, w, n0, n1 = found
+        return pa.record_batch([pa.array(v.view(np.int64)), pa.array(w.view(np.int64)), pa.array(n0), pa.array(n1)], names=["v", "w", "n0", "n1"])
 
+    parts: list = []
+    for batch in batches:
+        toxic = np.asarray(batch.column(1).to_pylist(), bool)
+        for i, j, hashes, at in hash_words(batch.column(0)):
+            label, v = np.repeat(toxic[i:j], np.diff(at)), words_before(hashes, at)
+            parts.append(merged([(bigram(v, hashes), v, hashes, ~label, label)]))
+        if sum(len(p[0]) for p in parts) > HELD:
+            parts = [merged(parts)]
+            if len(parts[0][0]) > HELD // 2:
+                yield out(parts[0])
+                parts = []
+    if parts:
+        yield out(merged(parts))
 
-def count(rows: DataFrame, words: np.ndarray | None) -> DataFrame:
-    found = rows.mapInArrow(counter(words), "key long, n0 long, n1 long")
-    return found.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
+def excess(count: Column, expected: Column) -> Column:
+    """A count less its discount: TIMES what is expected and DEVIATIONS standard deviations of it."""
+    left = count - F.greatest(TIMES * expected + DEVIATIONS * F.sqrt(expected), F.lit(DISCOUNT))
+    return F.greatest(F.floor(left / GRAIN).cast("double") * GRAIN, F.lit(0.0))
 
-def commonest(counts: DataFrame, bound: int) -> pa.Table:
-    """The rows (key, n0, n1) of the largest counts, as many as the bound allows with all of equal size, to an eighth of a power of two."""
-    size = F.floor(F.log2(F.col("n0") + F.col("n1")) * 8).cast("int")
-    held, least = 0, 0
-    for at, n in sorted(map(tuple, counts.groupBy(size).count().collect()), reverse=True):  # 8 * 64 rows at most
-        held += n
-        if held > bound:
-            least = at + 1
-            break
-    return counts.where(size >= least).select("key", "n0", "n1").toArrow()
+
+def whole_steps(value: Column) -> Column:
+    return F.round(value / STEP) * STEP
+
+
+def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (v, w, value) to (key, value)."""
+    for batch in batches:
+        v, w = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+        yield pa.record_batch([pa.array(bigram(v, w).view(np.int64)), batch.column(2)], names=["key", "value"])
 
 
 def fit(rows: DataFrame) -> Model:
     """The model of rows(text, toxic); without rows of both classes it tells no text from another."""
-    words = commonest(stored(count(rows, None).where(F.col("n0") + F.col("n1") >= MIN_WORD), "words"), VOCABULARY)
-    words = np.sort(words["key"].to_numpy().view(np.uint64))
-    width = len(words) + 1
-    pairs = stored(count(rows, words), "bigrams").select("*", F.floor(F.col("key") / width).alias("v"), (F.col("key") % width).alias("w"))
-    seen = [F.sum((F.col(f"n{c}") > 0).cast("long")).alias(f"t{c}") for c in (0, 1)]
-    after = pairs.groupBy("v").agg(F.sum("n0"), F.sum("n1")).collect()  # a row for each word of the vocabulary at most
-    into = pairs.groupBy("w").agg(*seen, F.count("*")).collect()
-    kept = commonest(pairs.where(F.col("n0") + F.col("n1") >= MIN_BIGRAM).select("key", "n0", "n1"), BIGRAMS)
-    total = np.zeros((width, 2))
-    types = np.zeros((width, 2))
-    shared = np.zeros(width)
-    for v, a, b in after:
-        total[v] = a, b
-    for w, a, b, n in into:
-        types[w] = a, b
-        shared[w] = n
-    share = (shared + 0.5) / (shared + 0.5).sum()
-    all_types = np.maximum(types.sum(axis=0), 1)
-    found = excess(types, types.sum(axis=1, keepdims=True) * all_types / all_types.sum()) / all_types
-    lift = 1 - found.sum(axis=0) + found / share[:, None]
-    kept = kept.sort_by("key")
-    keys, counts = kept["key"].to_numpy(), np.c_[kept["n0"].to_numpy(), kept["n1"].to_numpy()].astype(float)
-    v, w = keys // width, keys % width
-    every = np.maximum(total.sum(axis=1), 1)
-    pooled = np.maximum(counts.sum(axis=1) - DISCOUNT, 0) / every[v]
-    back = np.ones((width, 3))
-    np.subtract.at(back[:, 2], v, pooled)
-    usual = (pooled + back[v, 2] * share[w])[:, None] * lift[w]
-    gain = np.c_[excess(counts, usual * total[v]) / np.maximum(total[v], 1), pooled]
-    np.subtract.at(back[:, :2], v, gain[:, :2])
-    back[:, :2] = back[:, :2].min(axis=1, keepdims=True)  # shared as well: else a context's toxic expressions would speak against all its other words
-    return Model(words, keys, gain, np.maximum(back, 1e-6), share, lift)
-
-
-def excess(counts: np.ndarray, expected: np.ndarray) -> np.ndarray:
-    """Counts less their discounts: TIMES what is expected and DEVIATIONS standard deviations of it."""
-    return np.maximum(counts - np.maximum(TIMES * expected + DEVIATIONS * np.sqrt(expected), DISCOUNT), 0)
-
-
-def ratios(model: Model, column: pa.Array) -> np.ndarray:
+    c, n = (0, 1), F.col("n0") + F.col("n1")
+    pairs = stored(rows.mapInArrow(counter, "v long, w long, n0 long, n1 long").groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "bigrams")
+    seen = [F.sum((F.col(f"n{k}") > 0).cast("long")).alias(f"types{k}") for k in c]
+    words = stored(pairs.groupBy("w").agg(*seen, F.count("*").alias("shared"), F.sum(n).alias("n")), "words")
+    size, shared, *types = (x or 0 for x in words.agg(F.count("*"), F.sum("shared"), *(F.sum(f"types{k}") for k in c)).first())
+    types = [max(t, 1) for t in types]
+    share = (F.col("shared") + 0.5) / (shared + 0.5 * (size + 1))
+    found = [F.when(F.col("n") >= MIN_WORD, excess(F.col(f"types{k}"), (F.col("types0") + F.col("types1")) * (types[k] / sum(types)))).otherwise(0.0) for k in c]
+    words = words.select("w", "n", share.alias("share"), *(x.alias(f"found{k}") for k, x in zip(c, found, strict=True)))
+    rest = [1 - (x or 0.0) / types[k] for k, x in zip(c, words.agg(F.sum("found0"), F.sum("found1")).first(), strict=True)]
+    words = words.select("w", "n", "share", *((rest[k] + F.col(f"found{k}") / types[k] / F.col("share")).alias(f"lift{k}") for k in c), (F.col("found0") + F.col("found1") > 0).alias("tells"))
+    base = float(np.log(rest[1]) - np.log(rest[0]))
+    lifted = F.log("lift1") - F.log("lift0")
+    kept = pairs.where(n >= MIN_BIGRAM)
+    often = F.sum(F.when(n >= MIN_BIGRAM, n - DISCOUNT))
+    every = F.greatest(F.sum(n), F.lit(1))
+    after = pairs.groupBy("v").agg(F.sum("n0").alias("total0"), F.sum("n1").alias("total1"), every.alias("every"), (1 - often / every).alias("back")).where("back IS NOT NULL")  # words before no kept bigram aren't asked for
+    after = stored(after, "contexts")
+    rows = kept.join(maybe_broadcast(after, 48), "v").join(maybe_broadcast(stored(words.where(F.col("n") >= MIN_BIGRAM).drop("n", "tells"), "lifts"), 40), "w")
+    pooled = n - DISCOUNT
+    rows = rows.withColumn("pooled", pooled / F.col("every"))
+    usual = F.col("pooled") + F.col("back") * F.col("share")
+    rows = rows.withColumns({f"gain{k}": excess(F.col(f"n{k}"), usual * F.col(f"lift{k}") * F.col(f"total{k}")) for k in c}).where("gain0 > 0 OR gain1 > 0")
+    rows = stored(rows, "telling")
+    lost = [F.sum(f"gain{k}") / F.greatest(F.max(f"total{k}"), F.lit(1)) for k in c]
+    own = rows.groupBy("v").agg(F.greatest(1 - F.greatest(*lost), F.lit(1e-6)).alias("own"))  # shared as well: else a context's toxic expressions would speak against all its other words
+    rows = rows.join(maybe_broadcast(own, 16), "v")
+    usual = F.col("pooled") + F.greatest("back", F.lit(1e-6)) * F.col("share")
+    of = [F.col(f"gain{k}") / F.greatest(F.col(f"total{k}"), F.lit(1)) + F.col("own") * usual * F.col(f"lift{k}") for k in c]
+    rows = rows.select("v", "w", whole_steps(F.log(of[1]) - F.log(of[0]) - lifted).alias("value")).mapInArrow(keyed, "key long, value double")
+    telling = words.where("tells").select(F.col("w").alias("key"), whole_steps(lifted - base).alias("value"))
+    return Model(stored(telling.union(rows), "signals"), base)
+
+
+class Lookup:
+    """Sorted keys and their values; a key that isn't there has 0."""
+
+    def __init__(self, signals: pa.Table):
+        keys = signals["key"].to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], signals["value"].to_numpy()[order]
+        self.maybe = np.zeros(1 << 20, bool)  # by the first bits of a key: most keys are not there
+        self.maybe[keys >> np.uint64(44)] = True
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(keys))
+        if len(self.keys):
+            at = np.flatnonzero(self.maybe[keys >> np.uint64(44)])
+            place = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
+            out[at] = np.where(self.keys[place] == keys[at], self.values[place], 0.0)
+        return out
+
+
+def ratios(lookup: Lookup, base: float, column: pa.Array) -> np.ndarray:
     """For each text its length-normalised log-likelihood as toxic less that as ordinary; 0 without words."""
     out = np.zeros(len(column))
-    width = len(model.words) + 1
     for i, j, hashes, at in hash_words(column):
-        ids = ids_of(model.words, hashes)
-        first = np.zeros(len(ids) + 1, bool)
-        first[at] = True
-        before = np.where(first[:-1], 0, np.r_[0, ids[:-1]]) if len(ids) else ids
-        own, usual = np.zeros((len(ids), 2)), model.back[before, 2] * model.share[ids]
-        if len(model.pairs):
-            keys = before * width + ids
-            place = np.minimum(np.searchsorted(model.pairs, keys), len(model.pairs) - 1)
-            hit = model.pairs[place] == keys
-            own[hit], usual[hit] = model.gain[place[hit], :2], usual[hit] + model.gain[place[hit], 2]
-        of_class = own + model.back[before, :2] * usual[:, None] * model.lift[ids]
-        ratio = np.r_[0.0, np.cumsum(np.log(of_class[:, 1]) - np.log(of_class[:, 0]))]
+        told = np.r_[0.0, np.cumsum(lookup(hashes) + lookup(bigram(words_before(hashes, at), hashes)))]
         n = np.diff(at)
-        out[i:j] = (ratio[at[1:]] - ratio[at[:-1]]) / np.maximum(n, 1)
+        out[i:j] = np.where(n > 0, base + (told[at[1:]] - told[at[:-1]]) / np.maximum(n, 1), 0.0)
     return out
 
 
-def scorer(model, names: list[str]):
+def scorer(lookup, base: float, names: list[str]):
     """Batches of columns with text first to those named and ratio."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([*(batch.column(n) for n in names), pa.array(ratios(model.value, batch.column(0)))], names=[*names, "ratio"])
+            yield pa.record_batch([*(batch.column(n) for n in names), pa.array(ratios(lookup.value, base, batch.column(0)))], names=[*names, "ratio"])
 
     return run
 
 
+def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (text, row) to (row, key, times, words): the distinct words and bigrams of each row, and its words."""
+    for batch in batches:
+        rows = batch.column(1).to_numpy()
+        for i, j, hashes, at in hash_words(batch.column(0)):
+            n = np.diff(at)
+            row = np.repeat(np.arange(i, j), n)
+            row, keys = np.r_[row, row], np.r_[hashes, bigram(words_before(hashes, at), hashes)]
+            order = np.lexsort((keys, row))
+            row, keys = row[order], keys[order]
+            first = np.flatnonzero(np.r_[np.ones(min(len(keys), 1), bool), (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])])
+            times = np.diff(np.r_[first, len(keys)])
+            for a in range(0, len(first), HELD):
+                of = first[a : a + HELD]
+                yield pa.record_batch([pa.array(rows[row[of]]), pa.array(keys[of].view(np.int64)), pa.array(times[a : a + HELD]), pa.array(n[row[of] - i])], names=["row", "key", "times", "words"])
+
+
+def with_ratio(rows: DataFrame, model: Model, names: list[str]) -> DataFrame:
+    """The named columns of rows(text, ...), of which text comes first, with ratio."""
+    if fits(model.signals, 16):
+        lookup = rows.sparkSession.sparkContext.broadcast(Lookup(model.signals.toArrow()))
+        return rows.mapInArrow(scorer(lookup, model.base, names), T.StructType([*(rows.schema[n] for n in names), T.StructField("ratio", T.DoubleType())]))
+    rows = stored(rows.select("text", *(n for n in names if n != "text"), F.monotonically_increasing_id().alias("scored_row")), "texts")
+    keys = rows.select("text", "scored_row").mapInArrow(asked, "row long, key long, times long, words long")
+    told = keys.join(model.signals.hint("merge"), "key", "left").groupBy("row").agg((F.sum(F.coalesce("value", F.lit(0.0)) * F.col("times")) / F.max("words") + model.base).alias("ratio"))
+    return rows.join(told.hint("merge"), F.col("scored_row") == F.col("row"), "left").select(*names, F.coalesce("ratio", F.lit(0.0)).alias("ratio"))
+
+
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Intercept and slope, by Newton steps with a slight ridge; the slope is not negative."""
     beta = np.zeros(2)
@@ -220,7 +239,7 @@ def learn(documents: DataFrame, labels: DataFrame, folds: tuple[int, ...] = tupl
     learned = rows.join(maybe_broadcast(known, 16), "doc_id").select("text", "toxic", "fold")
     model = fit(learned.where(F.col("fold") != CURVE_FOLD).select("text", "toxic"))
     curve = learned.where(F.col("fold") == CURVE_FOLD).select("text", F.col("toxic").cast("int").alias("toxic"))
-    curve = curve.mapInArrow(scorer(documents.sparkSession.sparkContext.broadcast(model), ["toxic"]), "toxic int, ratio double")
+    curve = with_ratio(curve, model, ["toxic"])
     step = 1 / 256
     bins = curve.groupBy("toxic", F.least(F.greatest(F.round(F.col("ratio") / step), F.lit(-BINS)), F.lit(BINS)).alias("bin")).count().collect()  # 2 * (2 * BINS + 1) rows at most
     if not bins:
@@ -232,9 +251,7 @@ def learn(documents: DataFrame, labels: DataFrame, folds: tuple[int, ...] = tupl
 def scored(rows: DataFrame, learned: tuple[Model, float, float], names: list[str]) -> DataFrame:
     """The named columns of rows(text, ...), of which text comes first, with ratio and score."""
     model, intercept, slope = learned
-    sent = rows.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*(rows.schema[n] for n in names), T.StructField("ratio", T.DoubleType())])
-    rows = rows.mapInArrow(scorer(sent, names), schema)
+    rows = with_ratio(rows, model, names)
     return rows.withColumn("score", 1 / (1 + F.exp(-(F.lit(intercept) + F.lit(slope) * F.col("ratio")))))
 
 

@@ -133,6 +133,47 @@ def test_toxicity_never_sees_held_out_labels(spark):
     assert a == b
 
 
+def rare_toxic_words(spark):
+    """Documents in which 80,000 words are more frequent than each toxic one."""
+    r = random.Random(21)
+    common = [f"c{k}" for k in range(80_000)]
+    rows, labels = [], []
+    ids = {f: [i for i in range(6000) if zlib.crc32(str(i).encode()) % 5 == f] for f in range(5)}
+    learned = iter(ids[1] + ids[2] + ids[3])
+    for _ in range(6):
+        r.shuffle(common)
+        for k in range(0, len(common), 200):
+            rows.append((next(learned), " ".join(common[k : k + 200])))
+            labels.append((rows[-1][0], 0))
+    for k in range(100):
+        for _ in range(4):
+            rows.append((next(learned), f"{r.choice(common)} vile{k} {' '.join(r.sample(common, 5))} foul{k} fair{k}"))
+            labels.append((rows[-1][0], 1))
+    told = {}
+    for k in range(100):
+        told[ids[0][k]] = True
+        rows.append((ids[0][k], f"{' '.join(r.sample(common, 8))} vile{k} {' '.join(r.sample(common, 8))}"))
+        told[ids[0][100 + k]] = False
+        rows.append((ids[0][100 + k], " ".join(r.sample(common, 17))))
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(labels, "doc_id long, toxic int"), told
+
+
+def test_toxicity_learns_words_rarer_than_any_number_of_others(spark):
+    docs, labels, told = rare_toxic_words(spark)
+    ratio = {x.doc_id: x.ratio for x in toxicity.score(docs, labels).where("held_out").collect()}
+    assert min(ratio[i] for i in told if told[i]) > max(ratio[i] for i in told if not told[i])
+
+
+def test_toxicity_without_broadcast(spark, monkeypatch):
+    docs, labels, _ = rare_toxic_words(spark)
+    docs = docs.union(spark.createDataFrame([(9000, None), (9001, ""), (None, "vile1 vile2 c5"), (9002, "vile1 vile1 vile1 " * 50)], docs.schema))
+    usual = {(x.doc_id, x.predicted): (x.score, x.ratio) for x in toxicity.score(docs, labels).collect()}
+    monkeypatch.setattr(toxicity, "fits", lambda *a: False)
+    monkeypatch.setattr(toxicity, "maybe_broadcast", lambda df, *a: df.hint("merge"))
+    got = {(x.doc_id, x.predicted): (x.score, x.ratio) for x in toxicity.score(docs, labels).collect()}
+    assert got.keys() == usual.keys() and np.allclose([got[k] for k in usual], list(usual.values()), atol=1e-9)
+
+
 def test_secrets(documents, empty):
     got = secret_scan.scan(documents).select("document.doc_id", secret_scan.written(F.filter("spans", lambda x: x["kind"] < 3))).collect()
     assert counted(map(tuple, got)) == counted((i, ",".join(brute.secrets(t))) for i, t in TEXTS)
