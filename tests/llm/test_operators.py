@@ -336,6 +336,41 @@ def test_license_scan(spark, documents, empty):
     assert license_scan.scan(documents).count() == len(TEXTS) and license_scan.scan(empty).count() == 0
 
 
+def test_license_files_as_they_are(spark):
+    mit, bsd = license_scan.LICENSES["MIT"], license_scan.LICENSES["BSD-2-Clause"]
+    wrapped = "\n".join(mit[i : i + 70] for i in range(0, len(mit), 70))
+    assert "\nCOPYRIGHT" not in wrapped
+    clause = "3. Neither the name of Some Company, Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    rows = [
+        ("MIT", f"MIT License\n\nCopyright (c) 2020 Some One\n\n{mit}\n"),
+        ("MIT", f"The MIT License (MIT)\n=====================\n\n(c) 2020 Jane Doe\n\n{mit}"),
+        ("MIT", f"© 2020 Jane Doe\n{mit.replace(chr(34), '”')}"),
+        ("MIT", mit.replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS OR\nCOPYRIGHT HOLDERS")),
+        ("ISC", "ISC License\n\n" + license_scan.LICENSES["ISC"]),
+        ("BSD-2-Clause", "BSD 2-Clause License\n\nCopyright (c) 2020, X\nAll rights reserved.\n\n" + bsd),
+        ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, X\n\n" + bsd.replace("\n\nTHIS SOFTWARE", f"\n\n{clause}\n\nTHIS SOFTWARE")),
+        (None, "MIT License\n\n" + mit + " and more"),
+        (None, "MIT License\n"),
+        (None, "An essay on the MIT License\n" + mit),
+    ]
+    got = {r.doc_id: (r.license, r.line_licenses) for r in license_scan.scan(spark.createDataFrame(list(enumerate(t for _, t in rows)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == [(name, name or "") for name, _ in rows]
+
+
+COMMON_LICENSES = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+
+
+def test_long_license_files(spark):
+    from pathlib import Path
+
+    folder = Path("/usr/share/common-licenses")
+    rows = [(name, (folder / file).read_text()) for file, name in COMMON_LICENSES.items() if (folder / file).exists()]
+    if not rows:
+        pytest.skip("no licence files on this machine")
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {r.doc_id: r.license for r in got} == {name: name for name, _ in rows}
+
+
 def test_packing(documents, empty):
     from tokenizers import Tokenizer
     import public_tokenizers
