@@ -454,6 +454,31 @@ def test_url_filter(spark):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_url_filter_resolves_every_form_of_reference(spark):
+    link, refresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    forms = [
+        ("http://x.com/a/p.html", refresh.format("../en/q"), "block"),
+        ("http://x.com/b", refresh.format("en/next.html"), "block"),
+        ("http://h3.com", link.format("en/q"), "block"),
+        ("http://x.com/a/b?x=1", link.format("./../en/./q?z#f"), "block"),
+        ("http://x5.org/a", '<base href="http://y.com/en/">' + link.format("q"), "block"),
+        ("http://x.com/c/", "<base target=_top href='/en/x'>" + link.format("q"), "block"),
+        ("http://x.com/d", link.format("/en/go?to=https://z.org"), "block"),
+        ("http://x8.org/a?p=1", link.format("?p=2"), "block"),
+        ("http://x8.org/a?p=2", link.format("http://y.com/en/"), "block"),
+        ("http://x9.org/a", link.format("//Y.com/en/r"), "block"),
+        ("http://x10.org/a/b/c", link.format("../../../../d"), "block"),
+        ("http://x10.org/d", link.format("http://y.com/k/../en/s"), "block"),
+        ("http://x11.org/a", link.format("go?to=http://y.com/en/q"), "allow"),
+        ("http://x12.org/a", "<base href='http://y.com/en/'>" + link.format(""), "allow"),
+        ("http://x13.org/a", link.format("#en") + link.format("mailto:a@y.com?u=http://y.com/en/"), "allow"),
+        ("http://example.com/p", refresh.format("en/7") + link.format("http://y2.com/en/1"), "allow"),
+        ("relative/a", link.format("en/q"), "allow"),
+    ]
+    got = url_filter.judge(spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(forms)], "page_id long, url string, html string")).collect()
+    assert {forms[r.page_id][0]: r.verdict for r in got} == {u: v for u, _, v in forms}
+
+
 
 
 def test_long_rows_come_in_parts(monkeypatch):
