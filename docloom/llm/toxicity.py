@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import fits, maybe_broadcast, small_batches, stored, table, unwrapped, wrapped
+from docloom.llm.common import clear_stored, fits, maybe_broadcast, small_batches, stored, stored_so_far, table, unwrapped, wrapped
 from docloom.llm.tokens import hash_words, mix
 
 #: Words and bigrams need so many occurrences to tell classes apart; all are counted.
@@ -112,7 +112,7 @@ def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(rows: DataFrame) -> Model:
     """The model of rows(text, toxic); without rows of both classes it tells no text from another."""
-    c, n = (0, 1), F.col("n0") + F.col("n1")
+    c, n, mark = (0, 1), F.col("n0") + F.col("n1"), stored_so_far()
     pairs = stored(rows.mapInArrow(counter, "v long, w long, n0 long, n1 long").groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "bigrams")
     seen = [F.sum((F.col(f"n{k}") > 0).cast("long")).alias(f"types{k}") for k in c]
     words = stored(pairs.groupBy("w").agg(*seen, F.count("*").alias("shared"), F.sum(n).alias("n")), "words")
@@ -143,7 +143,9 @@ def fit(rows: DataFrame) -> Model:
     of = [F.col(f"gain{k}") / F.greatest(F.col(f"total{k}"), F.lit(1)) + F.col("own") * usual * F.col(f"lift{k}") for k in c]
     rows = rows.select("v", "w", whole_steps(F.log(of[1]) - F.log(of[0]) - lifted).alias("value")).mapInArrow(keyed, "key long, value double")
     telling = words.where("tells").select(F.col("w").alias("key"), whole_steps(lifted - base).alias("value"))
-    return Model(stored(telling.union(rows), "signals"), base)
+    signals = stored(telling.union(rows), "signals")
+    clear_stored(signals.sparkSession, mark, keep_last=True)  # the counts have served
+    return Model(signals, base)
 
 
 class Lookup:
