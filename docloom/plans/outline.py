@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import expr as X
@@ -97,9 +97,36 @@ def active_section(spark, sf_dir):
     return at.select("doc_id", "line_no", F.when(F.size(above) > 0, F.element_at(above, -1)["text"]).otherwise(F.element_at("heads", 1)["text"]).alias("section"))
 
 
+def sections_of_lines(lines: DataFrame) -> DataFrame:
+    """(doc_id, line_no, section) for every line: the last heading at or above it, else the first one of the document, else null."""
+    heads = L.headings(lines).select("doc_id", "line_no", "text")
+    rows = lines.select("doc_id", "line_no").join(heads, ["doc_id", "line_no"], "left")
+    w = Window.partitionBy("doc_id").orderBy("line_no")
+    above = F.last("text", ignorenulls=True).over(w)
+    below = F.first("text", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return rows.select("doc_id", "line_no", F.coalesce(above, below).alias("section"))
+
+
+def marks_of_lines(lines: DataFrame) -> DataFrame:
+    """(doc_id, line_no, sups, subs, marks, inss) of every line outside fences that has any of them."""
+    found = lambda pattern: F.regexp_extract_all("line", F.lit(pattern), F.lit(1))
+    rows = lines.where(~F.col("fenced")).select("doc_id", "line_no", found(r"\^([^\s^]+)\^").alias("sups"), found(r"~([^\s~]+)~").alias("subs"), found(r"==([^=]+)==").alias("marks"), found(r"\+\+([^+]+)\+\+").alias("inss"))
+    return rows.where("size(sups) + size(subs) + size(marks) + size(inss) > 0")
+
+
+def active_section_all(spark, sf_dir):
+    """active_section for every line."""
+    return sections_of_lines(_lines(spark, sf_dir))
+
+
+def marks_all(spark, sf_dir):
+    """sup_sub and mark_ins for every line outside fences."""
+    return marks_of_lines(_lines(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (outline, toc_by_doc, first_h1_title, code_langs, fence_dispatch, alerts, containers, abbr_defs, abbr_uses, wikilinks, sup_sub, mark_ins, front_matter, active_section)
+    for f in (outline, toc_by_doc, first_h1_title, code_langs, fence_dispatch, alerts, containers, abbr_defs, abbr_uses, wikilinks, sup_sub, mark_ins, front_matter, active_section, active_section_all, marks_all)
 }
 
 _HEADS = (

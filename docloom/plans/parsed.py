@@ -78,6 +78,16 @@ def parsed_emoji(spark, sf_dir):
     return T.emoji(_nodes(spark, sf_dir)).where("name IN ('rocket', '+1')").groupBy("name", "sign").agg(F.count("*").alias("uses"))
 
 
+def parsed_autolinks_all(spark, sf_dir):
+    """parsed_autolinks to any address."""
+    return T.autolinks(_nodes(spark, sf_dir)).select("doc_id", "href", "shown")
+
+
+def parsed_emoji_all(spark, sf_dir):
+    """parsed_emoji of any name."""
+    return T.emoji(_nodes(spark, sf_dir)).groupBy("name", "sign").agg(F.count("*").alias("uses"))
+
+
 def toc_filtered(spark, sf_dir):
     """Headings of each outline that have an id."""
     rows = T.toc(_nodes(spark, sf_dir))
@@ -111,7 +121,7 @@ def words_by_language(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (parsed_headings, parsed_titles, parsed_links, parsed_code, parsed_alerts, parsed_containers, parsed_abbreviations, parsed_tasks, parsed_front_matter, parsed_images, parsed_autolinks, parsed_footnotes, parsed_cells, parsed_definitions, parsed_emoji, toc_filtered, math_spans, inline_marks, find_in_nodes, render_html, words_by_language)
+    for f in (parsed_headings, parsed_titles, parsed_links, parsed_code, parsed_alerts, parsed_containers, parsed_abbreviations, parsed_tasks, parsed_front_matter, parsed_images, parsed_autolinks, parsed_footnotes, parsed_cells, parsed_definitions, parsed_emoji, parsed_autolinks_all, parsed_emoji_all, toc_filtered, math_spans, inline_marks, find_in_nodes, render_html, words_by_language)
 }
 
 _WORDS = r"CAST(len(list_filter(string_split_regex(md, '[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda x: x <> '')) AS BIGINT)"

@@ -181,6 +181,21 @@ def test_query_gives_rows(spark, name):
     assert catalog.queries()[name](spark, SF).count() > 0
 
 
+def test_whole_queries_answer_every_line(spark):
+    from docloom.plans import outline
+
+    texts = {1: "intro\n# A #\nx^2^ y\n```\n# no ==m==\n```\n## B\nH~2~O and ==m== ++i++", 2: "no heading", 3: "\n# C"}
+    lines = outline.L.split_lines(spark.createDataFrame(list(texts.items()), "doc_id long, md string"))
+    got = {(r.doc_id, r.line_no): r.section for r in outline.sections_of_lines(lines).collect()}
+    assert got == {**{(1, i): "A" for i in range(6)}, (1, 6): "B", (1, 7): "B", (2, 0): None, (3, 0): "C", (3, 1): "C"}
+    marks = sorted(tuple(r) for r in outline.marks_of_lines(lines).collect())
+    assert marks == [(1, 2, ["2"], [], [], []), (1, 7, [], ["2"], ["m"], ["i"])]
+    documents = outline._lines(spark, SF)
+    assert catalog.queries()["active_section_all"](spark, SF).count() == documents.count()
+    few, every = (catalog.queries()[n](spark, SF) for n in ("active_section", "active_section_all"))
+    assert few.exceptAll(every).count() == 0
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
