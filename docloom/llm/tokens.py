@@ -23,6 +23,11 @@ for _b in range(0x41, 0x5B):
 _powers: list[np.ndarray] = []
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes of words, A-Z lower-cased; 0 for all others."""
+    return _LOWER[data]
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and its inverse modulo 2**64, for i up to n at least."""
     if not _powers or len(_powers[0]) < n:

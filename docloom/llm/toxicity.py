@@ -1,15 +1,18 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, of toxic and of ordinary text, share their backoff counts. At each order a class's
-count is discounted by a multiple of what the shared model expects and some standard deviations
-more, so an expression too rare or too even to tell the classes apart is left to the shared backoff, the
-Kneser-Ney model of all text: discounted bigrams over continuation counts. A document's score is the
-difference of its two log-likelihoods by length, put on 0 to 1 by a logistic curve.
-
-Counts and continuation counts are stored tables of all words and bigrams of the learned rows, and grow
-with them. Where neither word nor bigram has anything left of a class's counts, the two likelihoods differ
-by one constant; so only telling words and telling bigrams are looked up, by 64-bit hashes. Workers get
-them all while these fit a broadcast, else documents are joined to them, key by key.
+A model spells words byte by byte; a byte's context is all of its word before it. The shared model, of
+all learned text, is interpolated Kneser-Ney: contexts' counts less an absolute discount, then
+continuation counts after the last two bytes, then all bytes alike. A class's model discounts the class's
+counts and backs off to the shared one, with CONCENTRATION occurrences more for it, so that a context too
+rare in a class is left to the shared counts; rare forms of a telling word share what their first bytes
+tell. Each of them sums to one over the bytes and a word's end. As toxic text is mostly ordinary text, a word's
+likelihood in a class is SHARED parts that of the shared model and the rest that of the class's. A document's
+ratio is the mean of its words' log-likelihood ratios less their median: the median holds what its language
+or subject adds to every word. Where the curve's fold sets the threshold, the score is 0.5.
+
+Counts are stored tables of all learned words and their beginnings, and grow with them. A byte's part in a
+ratio is a whole multiple of STEP; those of 0 aren't stored. Workers get the others while these fit
+BROADCAST_BYTES, else words are joined to them.
 """
 
 from __future__ import annotations
@@ -19,29 +22,36 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm.common import clear_stored, fits, maybe_broadcast, small_batches, stored, stored_so_far, table, unwrapped, wrapped
-from docloom.llm.tokens import hash_words, mix
-
-#: Words and bigrams need so many occurrences to tell classes apart; all are counted.
-MIN_WORD, MIN_BIGRAM = 3, 3
-#: Discount of the bigrams of all text, and least discount of a class's counts.
-DISCOUNT = 0.75
-#: A class's count must exceed so many times what the shared model expects and so many standard deviations more.
-TIMES, DEVIATIONS = 2.0, 4.0
-#: Of the five folds by crc32(doc_id): one is never learned from, one fits the logistic curve, three are counted.
+from docloom.llm.tokens import BASE, CHUNK, chunks, lowered, mix, text_bytes
+
+#: Bytes of a unit: a longer word is several, each spelled as a word.
+UNIT = 24
+#: Symbols: the bytes, a unit's end, and what stands for all symbols not seen in a context.
+END, OTHER = 256, 257
+#: A class's model holds the shared one at so many occurrences of a context, besides its discounts.
+CONCENTRATION = 50.0
+#: Part of the shared model in a word's likelihood.
+SHARED = 0.99
+#: Logarithms that are stored are whole multiples of this.
+STEP = 1 / 128
+#: Of the five folds by crc32(doc_id): one is never learned from, one sets the threshold, three are counted.
 FOLDS, CURVE_FOLD = 5, 4
-#: Bins in which scores are counted for the curve.
-BINS = 4096
-#: Distinct counts held by a worker before it hands them on.
-HELD = 1 << 21
-#: Values are whole multiples of this and excesses of GRAIN, so that their sums don't depend on the order.
-STEP, GRAIN = 2.0**-32, 2.0**-20
-#: A bigram's hash is that of its first word times this plus that of its second, mixed.
+#: The threshold minimises the share of toxic rows missed and so many times the share of ordinary rows rejected.
+CLEAN_COST = 4
+#: Ratios are counted for the curve in bins of this width, so many on each side of 0.
+BIN, BINS = 2.0**-17, 1 << 14
+#: Distinct units held by a worker before it hands them on.
+HELD = 1 << 20
+#: Bytes of the model that a worker may get; an entry has ENTRY bytes.
+BROADCAST_BYTES, ENTRY = 64 * 1024 * 1024, 16
+#: The hash of a unit's beginning times this plus a symbol, mixed, is the key of both.
 PAIR = np.uint64(0xD6E8FEB86659FD93)
+ROOT = np.uint64(BASE)
 
 
 def fold(doc_id: Column) -> Column:
@@ -49,41 +59,88 @@ def fold(doc_id: Column) -> Column:
 
 
 class Model(NamedTuple):
-    signals: DataFrame  # stored (key, value): hash of a word or bigram, what an occurrence adds to base
-    base: float  # log-likelihood of a word as toxic less that as ordinary, where nothing tells
+    signals: DataFrame  # stored (key, k0, k1): hash of a context and symbol; logs of the classes' to the shared probability, in STEPs
+
+
+class Curve(NamedTuple):
+    threshold: float | None  # None where nothing was learned: then no text is rejected
+    slope: float
+
+
+def units(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For ranges of rows, or parts of one long row: first row, end row, the units as rows of UNIT bytes, and n + 1 offsets of the rows' units."""
+    data, offsets = text_bytes(column)
+    for i, j in chunks(offsets):
+        a, end = offsets[i], offsets[j]
+        while True:
+            b = a + CHUNK if end - a > 2 * CHUNK else end
+            while b < end and lowered(data[b : b + 1])[0]:  # a part ends between words
+                gaps = np.flatnonzero(lowered(data[b : min(b + CHUNK, end)]) == 0)
+                b = b + int(gaps[0]) if len(gaps) else min(b + CHUNK, end)
+            at = np.clip(offsets[i : j + 1], a, b) - a
+            yield i, j, *_units(lowered(data[a:b]), at)
+            a = b
+            if a >= end:
+                break
+
+
+def _units(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(x)
+    if not n:
+        return np.zeros((0, UNIT), np.uint8), np.zeros(len(at), np.int64)
+    word, edge = x != 0, np.zeros(n + 1, bool)
+    edge[at] = True
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1] | edge[1:n]
+    last[:-1] &= ~word[1:] | edge[1:n]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    pieces = -(-(ends - starts) // UNIT)
+    before = np.cumsum(pieces) - pieces
+    starts = np.repeat(starts, pieces) + UNIT * (np.arange(pieces.sum()) - np.repeat(before, pieces))
+    length = np.minimum(np.repeat(ends, pieces) - starts, UNIT)
+    place = np.arange(UNIT)
+    found = x[np.minimum(starts[:, None] + place, n - 1)]
+    found[place >= length[:, None]] = 0
+    return found, np.searchsorted(starts, at)
+
+
+def distinct(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct units, where each is first, and each unit's place among them."""
+    h = np.full(len(found), ROOT)
+    for part in found.view(np.uint64).T:
+        h = mix(h * np.uint64(BASE) + part)
+    return np.unique(h, return_index=True, return_inverse=True)
 
 
-def bigram(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mix(first * PAIR + second)
+def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    key, found, n0, n1 = (np.concatenate(x) for x in zip(*parts, strict=True))
+    key, first, at = np.unique(key, return_index=True, return_inverse=True)
+    return key, found[first], *(np.bincount(at, n, len(key)).astype(np.int64) for n in (n0, n1))
 
 
-def words_before(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The word before each; 0 before a row's first."""
-    out = np.zeros(len(hashes) + 1, np.uint64)
-    out[1:] = hashes
-    out[at] = 0
-    return out[:-1]
+def three(found: np.ndarray) -> list[pa.Array]:
+    return [pa.array(x) for x in np.ascontiguousarray(found).view(np.int64).T]
 
 
-def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    key, v, w, n0, n1 = (np.concatenate(x) for x in zip(*parts, strict=True))
-    key, first, at = np.unique(key, return_index=True, return_inverse=True)
-    return key, v[first], w[first], *(np.bincount(at, n, len(key)).astype(np.int64) for n in (n0, n1))
+def matrix(batch: pa.RecordBatch, first: int = 0) -> np.ndarray:
+    """The units whose bytes three long columns hold, from the given one on."""
+    return np.stack([batch.column(first + k).to_numpy() for k in range(3)], 1).view(np.uint8).reshape(-1, UNIT)
 
 
 def counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (text, toxic) to (v, w, n0, n1): counts of the bigrams by class; v is 0 before a row's first word."""
+    """Batches of (text, toxic) to (a, b, c, n0, n1): the units' bytes and their counts by class."""
 
-    def out(found):
-        _, v, w, n0, n1 = found
-        return pa.record_batch([pa.array(v.view(np.int64)), pa.array(w.view(np.int64)), pa.array(n0), pa.array(n1)], names=["v", "w", "n0", "n1"])
+    def out(held):
+        _, found, n0, n1 = held
+        return pa.record_batch([*three(found), pa.array(n0), pa.array(n1)], names=["a", "b", "c", "n0", "n1"])
 
     parts: list = []
     for batch in batches:
         toxic = np.asarray(batch.column(1).to_pylist(), bool)
-        for i, j, hashes, at in hash_words(batch.column(0)):
-            label, v = np.repeat(toxic[i:j], np.diff(at)), words_before(hashes, at)
-            parts.append(merged([(bigram(v, hashes), v, hashes, ~label, label)]))
+        for i, j, found, at in units(batch.column(0)):
+            label = np.repeat(toxic[i:j], np.diff(at))
+            key, first, place = distinct(found)
+            parts.append((key, found[first], *(np.bincount(place, x, len(key)).astype(np.int64) for x in (~label, label))))
         if sum(len(p[0]) for p in parts) > HELD:
             parts = [merged(parts)]
             if len(parts[0][0]) > HELD // 2:
@@ -93,146 +150,195 @@ def counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(merged(parts))
 
 
-def excess(count: Column, expected: Column) -> Column:
-    """A count less its discount: TIMES what is expected and DEVIATIONS standard deviations of it."""
-    left = count - F.greatest(TIMES * expected + DEVIATIONS * F.sqrt(expected), F.lit(DISCOUNT))
-    return F.greatest(F.floor(left / GRAIN).cast("double") * GRAIN, F.lit(0.0))
+def spelled(found: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each place in a unit: the place, the units that reach it, hashes of what stands before it, and its symbols."""
+    length = (found != 0).sum(1)
+    at, before = np.arange(len(found)), np.full(len(found), ROOT)
+    for k in range(UNIT + 1):
+        symbol = np.where(length[at] > k, found[at, min(k, UNIT - 1)].astype(np.int64), END)
+        yield k, at, before, symbol
+        on = symbol != END
+        at, before = at[on], mix(before[on] * np.uint64(BASE) + symbol[on].astype(np.uint64) + np.uint64(1))
 
 
-def whole_steps(value: Column) -> Column:
-    return F.round(value / STEP) * STEP
+def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (a, b, c, n0, n1) to (context, tail, symbol, n0, n1): tail has the context's last two bytes."""
+    for batch in batches:
+        found, n = matrix(batch), [batch.column(k).to_numpy() for k in (3, 4)]
+        for k, at, before, symbol in spelled(found):
+            if not len(at):
+                break
+            key, first, place = np.unique(pair(before, symbol), return_index=True, return_inverse=True)
+            tail = sum(found[at[first], k - 1 - b].astype(np.int32) << 8 * b for b in range(min(k, 2))) + np.zeros(len(first), np.int32)
+            yield pa.record_batch(
+                [pa.array(before[first].view(np.int64)), pa.array(tail.astype(np.int32)), pa.array(symbol[first].astype(np.int32)), *(pa.array(np.bincount(place, x[at], len(key)).astype(np.int64)) for x in n)],
+                names=["context", "tail", "symbol", "n0", "n1"],
+            )
+
+
+def pair(before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    return mix(before * PAIR + symbol.astype(np.uint64))
 
 
 def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (v, w, value) to (key, value)."""
+    """Batches of (context, symbol, k0, k1) to (key, k0, k1)."""
     for batch in batches:
-        v, w = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
-        yield pa.record_batch([pa.array(bigram(v, w).view(np.int64)), batch.column(2)], names=["key", "value"])
+        key = pair(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy())
+        yield pa.record_batch([pa.array(key.view(np.int64)), batch.column(2), batch.column(3)], names=["key", "k0", "k1"])
+
+
+def discount(counts: DataFrame, column: Column) -> float:
+    """The absolute discount by counts of counts: n1 / (n1 + 2 n2); 0.5 where no count is 1."""
+    once, twice = counts.agg(F.count_if(column == 1), F.count_if(column == 2)).first()
+    return once / (once + 2 * twice) if once else 0.5
 
 
 def fit(rows: DataFrame) -> Model:
     """The model of rows(text, toxic); without rows of both classes it tells no text from another."""
-    c, n, mark = (0, 1), F.col("n0") + F.col("n1"), stored_so_far()
-    pairs = stored(rows.mapInArrow(counter, "v long, w long, n0 long, n1 long").groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "bigrams")
-    seen = [F.sum((F.col(f"n{k}") > 0).cast("long")).alias(f"types{k}") for k in c]
-    words = stored(pairs.groupBy("w").agg(*seen, F.count("*").alias("shared"), F.sum(n).alias("n")), "words")
-    size, shared, *types = (x or 0 for x in words.agg(F.count("*"), F.sum("shared"), *(F.sum(f"types{k}") for k in c)).first())
-    types = [max(t, 1) for t in types]
-    share = (F.col("shared") + 0.5) / (shared + 0.5 * (size + 1))
-    found = [F.when(F.col("n") >= MIN_WORD, excess(F.col(f"types{k}"), (F.col("types0") + F.col("types1")) * (types[k] / sum(types)))).otherwise(0.0) for k in c]
-    words = words.select("w", "n", share.alias("share"), *(x.alias(f"found{k}") for k, x in zip(c, found, strict=True)))
-    rest = [1 - (x or 0.0) / types[k] for k, x in zip(c, words.agg(F.sum("found0"), F.sum("found1")).first(), strict=True)]
-    words = words.select("w", "n", "share", *((rest[k] + F.col(f"found{k}") / types[k] / F.col("share")).alias(f"lift{k}") for k in c), (F.col("found0") + F.col("found1") > 0).alias("tells"))
-    base = float(np.log(rest[1]) - np.log(rest[0]))
-    lifted = F.log("lift1") - F.log("lift0")
-    kept = pairs.where(n >= MIN_BIGRAM)
-    often = F.sum(F.when(n >= MIN_BIGRAM, n - DISCOUNT))
-    every = F.greatest(F.sum(n), F.lit(1))
-    after = pairs.groupBy("v").agg(F.sum("n0").alias("total0"), F.sum("n1").alias("total1"), every.alias("every"), (1 - often / every).alias("back")).where("back IS NOT NULL")  # words before no kept bigram aren't asked for
-    after = stored(after, "contexts")
-    rows = kept.join(maybe_broadcast(after, 48), "v").join(maybe_broadcast(stored(words.where(F.col("n") >= MIN_BIGRAM).drop("n", "tells"), "lifts"), 40), "w")
-    pooled = n - DISCOUNT
-    rows = rows.withColumn("pooled", pooled / F.col("every"))
-    usual = F.col("pooled") + F.col("back") * F.col("share")
-    rows = rows.withColumns({f"gain{k}": excess(F.col(f"n{k}"), usual * F.col(f"lift{k}") * F.col(f"total{k}")) for k in c}).where("gain0 > 0 OR gain1 > 0")
-    rows = stored(rows, "telling")
-    lost = [F.sum(f"gain{k}") / F.greatest(F.max(f"total{k}"), F.lit(1)) for k in c]
-    own = rows.groupBy("v").agg(F.greatest(1 - F.greatest(*lost), F.lit(1e-6)).alias("own"))  # shared as well: else a context's toxic expressions would speak against all its other words
-    rows = rows.join(maybe_broadcast(own, 16), "v")
-    usual = F.col("pooled") + F.greatest("back", F.lit(1e-6)) * F.col("share")
-    of = [F.col(f"gain{k}") / F.greatest(F.col(f"total{k}"), F.lit(1)) + F.col("own") * usual * F.col(f"lift{k}") for k in c]
-    rows = rows.select("v", "w", whole_steps(F.log(of[1]) - F.log(of[0]) - lifted).alias("value")).mapInArrow(keyed, "key long, value double")
-    telling = words.where("tells").select(F.col("w").alias("key"), whole_steps(lifted - base).alias("value"))
-    signals = stored(telling.union(rows), "signals")
+    mark, n = stored_so_far(), F.col("n0") + F.col("n1")
+    sums = [F.sum(f"n{c}").alias(f"n{c}") for c in (0, 1)]
+    words = rows.mapInArrow(counter, "a long, b long, c long, n0 long, n1 long").groupBy("a", "b", "c").agg(*sums)
+    counts = words.mapInArrow(grams, "context long, tail int, symbol int, n0 long, n1 long").groupBy("context", "symbol").agg(F.max("tail").alias("tail"), *sums)
+    counts = stored(counts, "grams")
+    both, cuts = discount(counts, n), [discount(counts, F.col(f"n{c}")) for c in (0, 1)]
+    follow = stored(counts.groupBy("tail", "symbol").agg(F.count("*").alias("types")), "continuations")
+    cut, after = discount(follow, F.col("types")), Window.partitionBy("tail")
+    left = F.sum(F.least("types", F.lit(cut))).over(after)
+    follow = follow.select("tail", "symbol", ((F.col("types") - F.least("types", F.lit(cut)) + left / (END + 1)) / F.sum("types").over(after)).alias("next"))
+    at = Window.partitionBy("context")
+    rows = counts.join(maybe_broadcast(follow, 24), ["tail", "symbol"])
+    rows = rows.withColumn("shared", (n - F.least(n, F.lit(both)) + F.sum(F.least(n, F.lit(both))).over(at) * F.col("next")) / F.sum(n).over(at))
+    rows = rows.withColumns({f"{x}{c}": F.sum(y).over(at) for c in (0, 1) for x, y in (("all", F.col(f"n{c}")), ("cut", F.least(f"n{c}", F.lit(cuts[c]))))})
+    steps = lambda x: F.round(F.log(x) / STEP).cast("int")
+    backed = [(F.col(f"cut{c}") + CONCENTRATION) / (F.col(f"all{c}") + CONCENTRATION) for c in (0, 1)]
+    own = [(F.col(f"n{c}") - F.least(f"n{c}", F.lit(cuts[c]))) / (F.col(f"all{c}") + CONCENTRATION) / F.col("shared") for c in (0, 1)]
+    told = [F.struct("symbol", *(steps(own[c] + backed[c]).alias(f"k{c}") for c in (0, 1))), F.struct(F.lit(OTHER).alias("symbol"), *(steps(backed[c]).alias(f"k{c}") for c in (0, 1)))]
+    rows = rows.withColumns({"told": F.array(*told), "first": F.row_number().over(at.orderBy("symbol")) == 1})
+    usual = "told[1].k0 = {0}.k0 AND told[1].k1 = {0}.k1"
+    rows = rows.select("context", F.explode(F.concat(F.when(F.expr(usual.format("told[0]")), F.expr("slice(told, 1, 0)")).otherwise(F.expr("slice(told, 1, 1)")), F.when(F.col("first") & F.expr("told[1].k0 != 0 OR told[1].k1 != 0"), F.expr("slice(told, 2, 1)")).otherwise(F.expr("slice(told, 1, 0)")))).alias("told"))
+    rows = rows.select("context", "told.symbol", F.col("told.k0").cast("short").alias("k0"), F.col("told.k1").cast("short").alias("k1"))
+    signals = stored(rows.mapInArrow(keyed, "key long, k0 short, k1 short"), "signals")
     clear_stored(signals.sparkSession, mark, keep_last=True)  # the counts have served
-    return Model(signals, base)
+    return Model(signals)
 
 
 class Lookup:
-    """Sorted keys and their values; a key that isn't there has 0."""
+    """Sorted keys and their values; a context's unseen symbols have the value of OTHER, an unknown context's 0."""
 
     def __init__(self, signals: pa.Table):
         keys = signals["key"].to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        self.keys, self.values = keys[order], signals["value"].to_numpy()[order]
-        self.maybe = np.zeros(1 << 20, bool)  # by the first bits of a key: most keys are not there
-        self.maybe[keys >> np.uint64(44)] = True
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys))
+        self.keys, self.values = keys[order], np.stack([signals[k].to_numpy()[order] for k in ("k0", "k1")]).astype(np.int16)
+        self.maybe = np.zeros(1 << 22, bool)  # by the first bits of a key: most keys are not there
+        self.maybe[keys >> np.uint64(42)] = True
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the keys are there, and where these are."""
+        at = np.flatnonzero(self.maybe[keys >> np.uint64(42)])
+        place = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
+        hit = self.keys[place] == keys[at] if len(at) else np.zeros(0, bool)
+        return at[hit], place[hit]
+
+    def __call__(self, found: np.ndarray) -> np.ndarray:
+        """Log-likelihood ratios of units."""
+        told = np.zeros((2, len(found)), np.int32)
         if len(self.keys):
-            at = np.flatnonzero(self.maybe[keys >> np.uint64(44)])
-            place = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
-            out[at] = np.where(self.keys[place] == keys[at], self.values[place], 0.0)
-        return out
-
-
-def ratios(lookup: Lookup, base: float, column: pa.Array) -> np.ndarray:
-    """For each text its length-normalised log-likelihood as toxic less that as ordinary; 0 without words."""
-    out = np.zeros(len(column))
-    for i, j, hashes, at in hash_words(column):
-        told = np.r_[0.0, np.cumsum(lookup(hashes) + lookup(bigram(words_before(hashes, at), hashes)))]
-        n = np.diff(at)
-        out[i:j] = np.where(n > 0, base + (told[at[1:]] - told[at[:-1]]) / np.maximum(n, 1), 0.0)
-    return out
-
-
-def scorer(lookup, base: float, names: list[str]):
+            for _, at, before, symbol in spelled(found):
+                if not len(at):
+                    break
+                there, place = self.find(pair(before, symbol))
+                told[:, at[there]] += self.values[:, place]
+                rest = np.ones(len(at), bool)
+                rest[there] = False
+                rest = np.flatnonzero(rest)
+                there, place = self.find(pair(before[rest], np.full(len(rest), OTHER)))
+                told[:, at[rest[there]]] += self.values[:, place]
+        less, more = np.log(SHARED + (1 - SHARED) * np.exp(told * STEP))
+        return more - less
+
+
+def ratios(lookup: Lookup, column: pa.Array) -> np.ndarray:
+    """For each text the mean of its units' log-likelihood ratios less their median; 0 without words."""
+    parts: list[list[np.ndarray]] = [[] for _ in range(len(column))]
+    for i, j, found, at in units(column):
+        _, first, place = distinct(found)
+        told = lookup(found[first])[place]
+        for r in range(i, j):
+            if at[r - i + 1] > at[r - i]:
+                parts[r].append(told[at[r - i] : at[r - i + 1]])
+    whole = (np.concatenate(p) if len(p) > 1 else p[0] if p else np.zeros(1) for p in parts)
+    return np.array([x.mean() - np.median(x) for x in whole], float)
+
+
+def scorer(lookup, names: list[str]):
     """Batches of columns with text first to those named and ratio."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([*(batch.column(n) for n in names), pa.array(ratios(lookup.value, base, batch.column(0)))], names=[*names, "ratio"])
+            yield pa.record_batch([*(batch.column(n) for n in names), pa.array(ratios(lookup.value, batch.column(0)))], names=[*names, "ratio"])
 
     return run
 
 
 def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (text, row) to (row, key, times, words): the distinct words and bigrams of each row, and its words."""
+    """Batches of (text, row) to (row, a, b, c, times): the units of each row; those of one row's parts come part by part."""
     for batch in batches:
         rows = batch.column(1).to_numpy()
-        for i, j, hashes, at in hash_words(batch.column(0)):
-            n = np.diff(at)
-            row = np.repeat(np.arange(i, j), n)
-            row, keys = np.r_[row, row], np.r_[hashes, bigram(words_before(hashes, at), hashes)]
-            order = np.lexsort((keys, row))
-            row, keys = row[order], keys[order]
-            first = np.flatnonzero(np.r_[np.ones(min(len(keys), 1), bool), (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])])
-            times = np.diff(np.r_[first, len(keys)])
-            for a in range(0, len(first), HELD):
-                of = first[a : a + HELD]
-                yield pa.record_batch([pa.array(rows[row[of]]), pa.array(keys[of].view(np.int64)), pa.array(times[a : a + HELD]), pa.array(n[row[of] - i])], names=["row", "key", "times", "words"])
+        for i, j, found, at in units(batch.column(0)):
+            key, first, place = distinct(found)
+            row = np.repeat(np.arange(i, j), np.diff(at))
+            both, times = np.unique(row * len(key) + place, return_counts=True)
+            for a in range(0, len(both), HELD):
+                part = both[a : a + HELD]
+                yield pa.record_batch([pa.array(rows[part // len(key)]), *three(found[first[part % len(key)]]), pa.array(times[a : a + HELD])], names=["row", "a", "b", "c", "times"])
+
+
+def steps_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (a, b, c) to (a, b, c, key, other): the keys of each unit's symbols and those of the unseen ones."""
+    for batch in batches:
+        for _, at, before, symbol in spelled(matrix(batch)):
+            if not len(at):
+                break
+            keys = [pair(before, s).view(np.int64) for s in (symbol, np.full(len(at), OTHER))]
+            yield pa.record_batch([*(batch.column(k).take(pa.array(at)) for k in range(3)), *map(pa.array, keys)], names=["a", "b", "c", "key", "other"])
 
 
 def with_ratio(rows: DataFrame, model: Model, names: list[str]) -> DataFrame:
     """The named columns of rows(text, ...), of which text comes first, with ratio."""
-    if fits(model.signals, 16):
+    if fits(model.signals, ENTRY, BROADCAST_BYTES):
         lookup = rows.sparkSession.sparkContext.broadcast(Lookup(model.signals.toArrow()))
-        return rows.mapInArrow(scorer(lookup, model.base, names), T.StructType([*(rows.schema[n] for n in names), T.StructField("ratio", T.DoubleType())]))
+        return rows.mapInArrow(scorer(lookup, names), T.StructType([*(rows.schema[n] for n in names), T.StructField("ratio", T.DoubleType())]))
     rows = stored(rows.select("text", *(n for n in names if n != "text"), F.monotonically_increasing_id().alias("scored_row")), "texts")
-    keys = rows.select("text", "scored_row").mapInArrow(asked, "row long, key long, times long, words long")
-    told = keys.join(model.signals.hint("merge"), "key", "left").groupBy("row").agg((F.sum(F.coalesce("value", F.lit(0.0)) * F.col("times")) / F.max("words") + model.base).alias("ratio"))
+    words = stored(rows.select("text", "scored_row").mapInArrow(asked, "row long, a long, b long, c long, times long"), "asked")
+    keys = words.select("a", "b", "c").distinct().mapInArrow(steps_of, "a long, b long, c long, key long, other long")
+    other = model.signals.select(F.col("key").alias("other"), F.col("k0").alias("o0"), F.col("k1").alias("o1"))
+    told = keys.join(model.signals.hint("merge"), "key", "left").join(other.hint("merge"), "other", "left").groupBy("a", "b", "c")
+    told = told.agg(*(F.log(SHARED + (1 - SHARED) * F.exp(STEP * F.sum(F.coalesce(f"k{c}", f"o{c}", F.lit(0))))).alias(f"l{c}") for c in (0, 1)))
+    told = words.join(told.select("a", "b", "c", (F.col("l1") - F.col("l0")).alias("told")).hint("merge"), ["a", "b", "c"]).groupBy("row")
+    told = told.agg((F.sum(F.col("told") * F.col("times")) / F.sum("times") - F.percentile("told", 0.5, F.col("times"))).alias("ratio"))
     return rows.join(told.hint("merge"), F.col("scored_row") == F.col("row"), "left").select(*names, F.coalesce("ratio", F.lit(0.0)).alias("ratio"))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Intercept and slope, by Newton steps with a slight ridge; the slope is not negative."""
-    beta = np.zeros(2)
-    design = np.c_[np.ones(len(x)), x]
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        step = np.linalg.solve((design * (weight * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2), design.T @ (weight * (y - p)) - 1e-3 * beta)
-        beta += step
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(beta[0]), max(float(beta[1]), 1e-6)
+def curve(bins: list[tuple[int, float, int]]) -> Curve:
+    """The threshold that costs least, and one over the spread of the ordinary rows, from (toxic, bin, count)."""
+    toxic, x, n = (np.asarray(c, float) for c in zip(*bins, strict=True)) if bins else np.zeros((3, 0))
+    if len(set(toxic)) < 2:
+        return Curve(None, 1.0)
+    values = np.unique(x)
+    share = [np.bincount(np.searchsorted(values, x[toxic == k]), n[toxic == k], len(values)) / n[toxic == k].sum() for k in (0, 1)]
+    cost = np.r_[0, np.cumsum(share[1])] + CLEAN_COST * (1 - np.r_[0, np.cumsum(share[0])])
+    best = np.flatnonzero(cost <= cost.min() + 1e-12)
+    low, high = values[max(best[0] - 1, 0)], values[min(best[-1], len(values) - 1)] + (best[-1] == len(values))
+    threshold = low + (high - low) / 4  # of a gap: forms not learned from lie low in it
+    spread = np.sqrt((share[0] * (values - (share[0] * values).sum()) ** 2).sum())
+    return Curve(float(threshold) * BIN, 1 / max(float(spread) * BIN, BIN))
 
 
-def learn(documents: DataFrame, labels: DataFrame, folds: tuple[int, ...] = tuple(range(1, FOLDS))) -> tuple[Model, float, float]:
-    """The model and its curve's intercept and slope, from documents(doc_id, text) with labels(doc_id, toxic) in some folds.
+def learn(documents: DataFrame, labels: DataFrame, folds: tuple[int, ...] = tuple(range(1, FOLDS))) -> tuple[Model, Curve]:
+    """The model and its curve, from documents(doc_id, text) with labels(doc_id, toxic) in some folds.
 
     A null doc_id is in no fold; of several labels of a doc_id the largest holds, null labels don't
-    count. Without labels of both classes every score is that of the curve at 0.
+    count. Without labels of both classes every score is 0.5 and no document is rejected.
     """
     small_batches(documents.sparkSession)
     rows = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -240,28 +346,25 @@ def learn(documents: DataFrame, labels: DataFrame, folds: tuple[int, ...] = tupl
     known = known.where(F.col("fold").isin(*folds)).groupBy("doc_id", "fold").agg(F.max("toxic").alias("toxic"))
     learned = rows.join(maybe_broadcast(known, 16), "doc_id").select("text", "toxic", "fold")
     model = fit(learned.where(F.col("fold") != CURVE_FOLD).select("text", "toxic"))
-    curve = learned.where(F.col("fold") == CURVE_FOLD).select("text", F.col("toxic").cast("int").alias("toxic"))
-    curve = with_ratio(curve, model, ["toxic"])
-    step = 1 / 256
-    bins = curve.groupBy("toxic", F.least(F.greatest(F.round(F.col("ratio") / step), F.lit(-BINS)), F.lit(BINS)).alias("bin")).count().collect()  # 2 * (2 * BINS + 1) rows at most
-    if not bins:
-        return model, 0.0, 1.0
-    y, x, n = (np.asarray(c, float) for c in zip(*bins, strict=True))
-    return model, *logistic(x * step, y, n)
+    ratio = with_ratio(learned.where(F.col("fold") == CURVE_FOLD).select("text", F.col("toxic").cast("int").alias("toxic")), model, ["toxic"])
+    place = F.least(F.greatest(F.round(F.col("ratio") / BIN), F.lit(-BINS)), F.lit(BINS))
+    return model, curve(ratio.groupBy("toxic", place.alias("bin")).count().collect())  # 2 * (2 * BINS + 1) rows at most
 
 
-def scored(rows: DataFrame, learned: tuple[Model, float, float], names: list[str]) -> DataFrame:
+def scored(rows: DataFrame, learned: tuple[Model, Curve], names: list[str]) -> DataFrame:
     """The named columns of rows(text, ...), of which text comes first, with ratio and score."""
-    model, intercept, slope = learned
+    model, (threshold, slope) = learned
     rows = with_ratio(rows, model, names)
-    return rows.withColumn("score", 1 / (1 + F.exp(-(F.lit(intercept) + F.lit(slope) * F.col("ratio")))))
+    if threshold is None:
+        return rows.withColumn("score", F.lit(0.5))
+    return rows.withColumn("score", 1 / (1 + F.exp(-slope * (F.col("ratio") - threshold))))
 
 
 def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, ratio) for every row of documents(doc_id, text); labels(doc_id, toxic).
 
-    A null text is empty; a text without words has ratio 0; a null doc_id is not held out; repeated
-    rows are scored each; other columns are ignored; an empty table gives no rows. For labels see
+    A null text is empty; a text without words has ratio 0; a very long text is read in parts; a null doc_id is not
+    held out; repeated rows are scored each; other columns are ignored; an empty table gives no rows. For labels see
     learn.
     """
     rows = documents.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "doc_id")
@@ -270,8 +373,11 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of documents, with all their columns, that are not predicted to be toxic."""
-    rows = scored(wrapped(documents), learn(documents, labels), ["text", "document"])
+    """The rows of documents, with all their columns, that are not predicted to be toxic; all, where nothing was learned."""
+    learned = learn(documents, labels)
+    if learned[1].threshold is None:
+        return documents
+    rows = scored(wrapped(documents), learned, ["text", "document"])
     return unwrapped(rows.where("score < 0.5"), documents.columns)
 
 

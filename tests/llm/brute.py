@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 import re
+import statistics
 import string
 from collections import Counter
 
@@ -94,3 +97,53 @@ def repeated_bytes(rows: list[tuple[int | None, str | None]], size: int = 100) -
         spans = sum(gone[i] and not (i and gone[i - 1]) for i in range(len(data)))
         out.append((len(data), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(data, gone, strict=True) if not g)).hexdigest()))
     return out
+
+
+class Spelling:
+    """Class-conditional Kneser-Ney models of words, from texts with their class, with plain dictionaries."""
+
+    def __init__(self, rows, concentration, part, step):
+        self.concentration, self.part, self.step = concentration, part, step
+        self.n = [Counter(), Counter()]
+        for text, toxic in rows:
+            for word in self.words(text):
+                for before, symbol in self.spelled(word):
+                    self.n[toxic][before, symbol] += 1
+        self.both = self.n[0] + self.n[1]
+        self.types = Counter((before[-2:], symbol) for before, symbol in self.both)
+        self.cut = [self.discount(c) for c in (*self.n, self.both, self.types)]
+
+    @staticmethod
+    def words(text):
+        return [w[k : k + 24] for w in re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower()) for k in range(0, len(w), 24)]
+
+    @staticmethod
+    def spelled(word):
+        return [(word[:k], word[k] if k < len(word) else 256) for k in range(len(word) + 1)]
+
+    @staticmethod
+    def discount(counts):
+        once, twice = (sum(n == k for n in counts.values()) for k in (1, 2))
+        return once / (once + 2 * twice) if once else 0.5
+
+    @staticmethod
+    def discounted(counts, cut, context, symbol, lower, held=0.0):
+        here = [counts[context, s] for s in range(257)]
+        total = sum(here) + held
+        return (max(counts[context, symbol] - cut, 0) + (held + sum(min(n, cut) for n in here)) * lower) / total if total else lower
+
+    def shared(self, before, symbol):
+        lower = self.discounted(self.types, self.cut[3], before[-2:], symbol, 1 / 257)
+        return self.discounted(self.both, self.cut[2], before, symbol, lower)
+
+    def of_class(self, c, before, symbol):
+        return self.discounted(self.n[c], self.cut[c], before, symbol, self.shared(before, symbol), self.concentration)
+
+    @functools.cache  # noqa: B019
+    def word(self, word):
+        steps = [sum(round(math.log(self.of_class(c, *x) / self.shared(*x)) / self.step) for x in self.spelled(word)) for c in (0, 1)]
+        return math.log(self.part + (1 - self.part) * math.exp(steps[1] * self.step)) - math.log(self.part + (1 - self.part) * math.exp(steps[0] * self.step))
+
+    def ratio(self, text):
+        told = [self.word(w) for w in self.words(text)]
+        return sum(told) / len(told) - statistics.median(told) if told else 0.0

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +125,57 @@ def test_toxicity(spark, empty):
     assert {x.score for x in toxicity.score(docs, known.limit(0)).collect()} == {0.5}
 
 
+def test_toxicity_models_are_kneser_ney(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CONCENTRATION", 3.0)  # so that small counts tell
+    r = random.Random(8)
+    stems = ["an", "be", "co", "dé", "ever"]
+    word = lambda more: "".join(r.choice(more) for _ in range(r.randint(1, 3)))
+    rows, labels = [], []
+    for i in range(300):
+        toxic = i % 3 == 0
+        rows.append((i, " ".join("vil" + word(stems) if toxic and r.random() < 0.2 else word(stems) for _ in range(r.randint(0, 30))) + "x" * r.choice([0, 0, 60])))
+        labels.append((i, int(toxic)))
+    folds = {i: zlib.crc32(str(i).encode()) % 5 for i, _ in rows}
+    want = brute.Spelling([(t, y) for (i, t), (_, y) in zip(rows, labels) if folds[i] in (1, 2, 3)], 3.0, toxicity.SHARED, toxicity.STEP)
+    for before in (b"", b"v", b"vil", b"vilan", b"be", b"nowhere"):
+        for p in (want.shared, *(lambda b, s, c=c: want.of_class(c, b, s) for c in (0, 1))):
+            assert abs(sum(p(before, s) for s in range(257)) - 1) < 1e-9
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {x.doc_id: x.ratio for x in toxicity.score(docs, known).collect()}
+    assert max(abs(got[i] - want.ratio(t)) for i, t in rows) < 1e-9
+
+
+def test_toxicity_tells_unseen_forms_of_a_stem(spark):
+    r = random.Random(9)
+    ends = [a + b for a in "aeiou" for b in ("ra", "ne", "ti", "lo", "su", "mé")]
+    rows, labels = [], []
+    for i in range(600):
+        w = [r.choice(VOCABULARY) for _ in range(40)]
+        if i % 4 == 0:  # no form that is held out is learned from, though each of its vowels and syllables is
+            held = zlib.crc32(str(i).encode()) % 5 == 0
+            w[5:5] = ["grobl" + r.choice(ends[::4] if held else [e for e in ends if e not in ends[::4]]) for _ in range(4)]
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 4 == 0)))
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    held = got.where("held_out").collect()
+    ordinary = np.array([x.ratio for x in held if x.doc_id % 4])
+    assert np.mean([(x.ratio > ordinary).mean() for x in held if x.doc_id % 4 == 0]) > 0.95
+
+
+def test_toxicity_reads_very_long_texts_whole(spark, monkeypatch):
+    docs, labels, _ = rare_toxic_words(spark)
+    long = "c1 c2 vile1 c3 c4c4 " * 400 + "x" * 700
+    docs = docs.union(spark.createDataFrame([(9000, long)], docs.schema))
+    whole = {x.doc_id: x.ratio for x in toxicity.score(docs, labels).collect()}
+    monkeypatch.setattr(toxicity, "CHUNK", 300)
+    column = pa.array([long, None, "", "vile2 é", long])
+    parts = list(toxicity.units(column))
+    words = brute.Spelling.words(long)
+    found = [bytes(u).rstrip(b"\0") for i, j, m, at in parts for u in m]
+    assert len(parts) > 5 and found == words + [b"vile2", "é".encode()] + words
+    assert whole[9000] > 0
+
+
 def test_toxicity_never_sees_held_out_labels(spark):
     r = random.Random(2)
     rows = [(i, " ".join(r.choice(VOCABULARY) for _ in range(30)) + (" vile" * (i % 4 == 0))) for i in range(200)]
