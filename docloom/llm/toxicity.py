@@ -2,10 +2,10 @@
 
 A model spells words byte by byte; a byte's context is all of its word before it. The shared model, of
 all learned text, is interpolated Kneser-Ney: contexts' counts less an absolute discount, then
-continuation counts after the last two bytes, then all bytes alike. A class's model discounts the class's
-counts and backs off to the shared one, with CONCENTRATION occurrences more for it, so that a context too
-rare in a class is left to the shared counts; rare forms of a telling word share what their first bytes
-tell. Each of them sums to one over the bytes and a word's end. As toxic text is mostly ordinary text, a word's
+continuation counts after the last two bytes, then all bytes alike. A class's model gives what was never seen
+in a context the shared probability; for what was, it discounts the class's counts and backs off to the shared
+model, with CONCENTRATION occurrences more for it. So a context too rare in a class is left to the shared counts, and
+rare and unknown forms of a telling word share what their first bytes tell. Each model sums to one over the bytes and a word's end. As toxic text is mostly ordinary text, a word's
 likelihood in a class is SHARED parts that of the shared model and the rest that of the class's. A document's
 ratio is the mean of its words' log-likelihood ratios less their median: the median holds what its language
 or subject adds to every word. Where the curve's fold sets the threshold, the score is 0.5.
@@ -31,14 +31,14 @@ from docloom.llm.tokens import BASE, CHUNK, chunks, lowered, mix, text_bytes
 
 #: Bytes of a unit: a longer word is several, each spelled as a word.
 UNIT = 24
-#: Symbols: the bytes, a unit's end, and what stands for all symbols not seen in a context.
-END, OTHER = 256, 257
+#: Symbols are the bytes and this, a unit's end.
+END = 256
 #: A class's model holds the shared one at so many occurrences of a context, besides its discounts.
 CONCENTRATION = 50.0
 #: Part of the shared model in a word's likelihood.
 SHARED = 0.99
 #: Logarithms that are stored are whole multiples of this.
-STEP = 1 / 128
+STEP = 1 / 16
 #: Of the five folds by crc32(doc_id): one is never learned from, one sets the threshold, three are counted.
 FOLDS, CURVE_FOLD = 5, 4
 #: The threshold minimises the share of toxic rows missed and so many times the share of ordinary rows rejected.
@@ -209,21 +209,17 @@ def fit(rows: DataFrame) -> Model:
     rows = counts.join(maybe_broadcast(follow, 24), ["tail", "symbol"])
     rows = rows.withColumn("shared", (n - F.least(n, F.lit(both)) + F.sum(F.least(n, F.lit(both))).over(at) * F.col("next")) / F.sum(n).over(at))
     rows = rows.withColumns({f"{x}{c}": F.sum(y).over(at) for c in (0, 1) for x, y in (("all", F.col(f"n{c}")), ("cut", F.least(f"n{c}", F.lit(cuts[c]))))})
-    steps = lambda x: F.round(F.log(x) / STEP).cast("int")
-    backed = [(F.col(f"cut{c}") + CONCENTRATION) / (F.col(f"all{c}") + CONCENTRATION) for c in (0, 1)]
-    own = [(F.col(f"n{c}") - F.least(f"n{c}", F.lit(cuts[c]))) / (F.col(f"all{c}") + CONCENTRATION) / F.col("shared") for c in (0, 1)]
-    told = [F.struct("symbol", *(steps(own[c] + backed[c]).alias(f"k{c}") for c in (0, 1))), F.struct(F.lit(OTHER).alias("symbol"), *(steps(backed[c]).alias(f"k{c}") for c in (0, 1)))]
-    rows = rows.withColumns({"told": F.array(*told), "first": F.row_number().over(at.orderBy("symbol")) == 1})
-    usual = "told[1].k0 = {0}.k0 AND told[1].k1 = {0}.k1"
-    rows = rows.select("context", F.explode(F.concat(F.when(F.expr(usual.format("told[0]")), F.expr("slice(told, 1, 0)")).otherwise(F.expr("slice(told, 1, 1)")), F.when(F.col("first") & F.expr("told[1].k0 != 0 OR told[1].k1 != 0"), F.expr("slice(told, 2, 1)")).otherwise(F.expr("slice(told, 1, 0)")))).alias("told"))
-    rows = rows.select("context", "told.symbol", F.col("told.k0").cast("short").alias("k0"), F.col("told.k1").cast("short").alias("k1"))
+    rows = rows.withColumn("seen", F.col("shared") / F.sum("shared").over(at))  # among the symbols seen in the context
+    total = [F.col(f"all{c}") + CONCENTRATION for c in (0, 1)]
+    likelihood = [(F.col(f"n{c}") - F.least(f"n{c}", F.lit(cuts[c])) + (F.col(f"cut{c}") + CONCENTRATION) * F.col("seen")) / total[c] for c in (0, 1)]
+    rows = rows.select("context", "symbol", *(F.round(F.log(likelihood[c] / F.col("seen")) / STEP).cast("short").alias(f"k{c}") for c in (0, 1))).where("k0 <> 0 OR k1 <> 0")
     signals = stored(rows.mapInArrow(keyed, "key long, k0 short, k1 short"), "signals")
     clear_stored(signals.sparkSession, mark, keep_last=True)  # the counts have served
     return Model(signals)
 
 
 class Lookup:
-    """Sorted keys and their values; a context's unseen symbols have the value of OTHER, an unknown context's 0."""
+    """Sorted keys and their values; what is not there has 0."""
 
     def __init__(self, signals: pa.Table):
         keys = signals["key"].to_numpy().view(np.uint64)
@@ -248,11 +244,6 @@ class Lookup:
                     break
                 there, place = self.find(pair(before, symbol))
                 told[:, at[there]] += self.values[:, place]
-                rest = np.ones(len(at), bool)
-                rest[there] = False
-                rest = np.flatnonzero(rest)
-                there, place = self.find(pair(before[rest], np.full(len(rest), OTHER)))
-                told[:, at[rest[there]]] += self.values[:, place]
         less, more = np.log(SHARED + (1 - SHARED) * np.exp(told * STEP))
         return more - less
 
@@ -294,13 +285,12 @@ def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def steps_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (a, b, c) to (a, b, c, key, other): the keys of each unit's symbols and those of the unseen ones."""
+    """Batches of (a, b, c) to (a, b, c, key): the keys of each unit's symbols in their contexts."""
     for batch in batches:
         for _, at, before, symbol in spelled(matrix(batch)):
             if not len(at):
                 break
-            keys = [pair(before, s).view(np.int64) for s in (symbol, np.full(len(at), OTHER))]
-            yield pa.record_batch([*(batch.column(k).take(pa.array(at)) for k in range(3)), *map(pa.array, keys)], names=["a", "b", "c", "key", "other"])
+            yield pa.record_batch([*(batch.column(k).take(pa.array(at)) for k in range(3)), pa.array(pair(before, symbol).view(np.int64))], names=["a", "b", "c", "key"])
 
 
 def with_ratio(rows: DataFrame, model: Model, names: list[str]) -> DataFrame:
@@ -310,10 +300,9 @@ def with_ratio(rows: DataFrame, model: Model, names: list[str]) -> DataFrame:
         return rows.mapInArrow(scorer(lookup, names), T.StructType([*(rows.schema[n] for n in names), T.StructField("ratio", T.DoubleType())]))
     rows = stored(rows.select("text", *(n for n in names if n != "text"), F.monotonically_increasing_id().alias("scored_row")), "texts")
     words = stored(rows.select("text", "scored_row").mapInArrow(asked, "row long, a long, b long, c long, times long"), "asked")
-    keys = words.select("a", "b", "c").distinct().mapInArrow(steps_of, "a long, b long, c long, key long, other long")
-    other = model.signals.select(F.col("key").alias("other"), F.col("k0").alias("o0"), F.col("k1").alias("o1"))
-    told = keys.join(model.signals.hint("merge"), "key", "left").join(other.hint("merge"), "other", "left").groupBy("a", "b", "c")
-    told = told.agg(*(F.log(SHARED + (1 - SHARED) * F.exp(STEP * F.sum(F.coalesce(f"k{c}", f"o{c}", F.lit(0))))).alias(f"l{c}") for c in (0, 1)))
+    keys = words.select("a", "b", "c").distinct().mapInArrow(steps_of, "a long, b long, c long, key long")
+    told = keys.join(model.signals.hint("merge"), "key", "left").groupBy("a", "b", "c")
+    told = told.agg(*(F.log(SHARED + (1 - SHARED) * F.exp(STEP * F.sum(F.coalesce(f"k{c}", F.lit(0))))).alias(f"l{c}") for c in (0, 1)))
     told = words.join(told.select("a", "b", "c", (F.col("l1") - F.col("l0")).alias("told")).hint("merge"), ["a", "b", "c"]).groupBy("row")
     told = told.agg((F.sum(F.col("told") * F.col("times")) / F.sum("times") - F.percentile("told", 0.5, F.col("times"))).alias("ratio"))
     return rows.join(told.hint("merge"), F.col("scored_row") == F.col("row"), "left").select(*names, F.coalesce("ratio", F.lit(0.0)).alias("ratio"))

@@ -137,7 +137,10 @@ class Spelling:
         return self.discounted(self.both, self.cut[2], before, symbol, lower)
 
     def of_class(self, c, before, symbol):
-        return self.discounted(self.n[c], self.cut[c], before, symbol, self.shared(before, symbol), self.concentration)
+        if not self.both[before, symbol]:
+            return self.shared(before, symbol)
+        seen = sum(self.shared(before, s) for s in range(257) if self.both[before, s])
+        return seen * self.discounted(self.n[c], self.cut[c], before, symbol, self.shared(before, symbol) / seen, self.concentration)
 
     @functools.cache  # noqa: B019
     def word(self, word):
