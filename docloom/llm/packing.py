@@ -35,16 +35,21 @@ RANGE_TOKENS = 1 << 19
 
 @cache
 def encoder(path: str):
-    """A tiktoken encoding with the vocabulary of a tokenizers byte-level BPE file; ids are equal, and it is four times as fast."""
+    """A function from a text to the ids that the byte-level BPE file of tokenizers gives it, added tokens included, by a tiktoken encoding, which is four times as fast."""
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        vocabulary = json.load(f)["model"]["vocab"]
+        whole = json.load(f)
+    vocabulary, added = whole["model"]["vocab"], whole["added_tokens"]
+    if whole["normalizer"] or any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
+        raise ValueError(f"{path}: normalisers and added tokens that take more than their own characters are not supported")
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     shown = dict(zip(plain, plain, strict=True)) | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
     to_byte = {chr(c): b for b, c in shown.items()}
-    ranks = {bytes(to_byte[c] for c in token): i for token, i in vocabulary.items() if all(c in to_byte for c in token) and token != "<|endoftext|>"}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    own = {t["content"]: t["id"] for t in added}  # cut out of a text before it is split into words
+    ranks = {bytes(to_byte[c] for c in token): i for token, i in vocabulary.items() if all(c in to_byte for c in token) and token not in own}
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=own)
+    return lambda text: encoding.encode(text, allowed_special="all")
 
 
 @cache
@@ -82,10 +87,10 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def tokenise(path: str):
-    """Batches of (doc_id, text) to (doc_id, n, key, ids); ids are little-endian 16-bit, the last is END_ID."""
+    """Batches of (doc_id, text) to (doc_id, n, key, ids); ids are little-endian 16-bit (larger ones fail), the last is END_ID."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = encoder(path)
         for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             ids = [np.asarray([*encode(t.as_py() or ""), END_ID], "<u2") for t in batch.column(1)]
             bags = np.zeros((len(ids), HASHED))
@@ -136,7 +141,8 @@ def pack(documents: DataFrame, tokenizer_path: str | None = None, size: int = SE
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) of all rows of documents(doc_id, text).
 
     Each row is a document of its own, also where rows repeat; a null text is empty and has the end
-    id alone; a long one is cut over as many sequences as it needs; ties on the curve go by doc_id;
+    id alone; a long one is cut over as many sequences as it needs; ties on the curve go by doc_id; a doc_id
+    that is no whole number fails, or is null where spark.sql.ansi.enabled is false;
     other columns are ignored; an empty table gives no rows.
     """
     spark = documents.sparkSession

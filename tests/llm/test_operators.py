@@ -424,29 +424,27 @@ def test_long_license_files(spark):
 
 
 def test_packing(documents, empty):
-    from tokenizers import Tokenizer
     import public_tokenizers
+    from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    tokenizer.encode_special_tokens = True
-    got = packing.pack(documents, size=64).collect()
-    ids = {(i, t): [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for i, t in TEXTS}
+    more = [(500, "end<|endoftext|> and  <|endoftext|><|endoftext|>"), (501, "<|endoftext|>"), (500, "again " * 90)]
+    spark = documents.sparkSession
+    clash = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in [*TEXTS, *more]], "doc_id long, text string, ids string, key int, n int").repartition(3)
+    got = packing.pack(clash, size=64).orderBy("sequence_id", "offset").collect()
     sequences: dict = {}
+    found: list = []
     for r in got:
         assert r.length == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
-        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
-    for pieces in sequences.values():
-        upto = 0
-        for offset, length in sorted(pieces):
-            assert offset == upto
-            upto += length
-        assert upto <= 64
-    assert sum(sum(n for _, n in p) < 64 for p in sequences.values()) <= 4
-    for doc_id in {i for i, _ in TEXTS}:
-        whole = sorted(tuple(v) for (i, _), v in ids.items() for _ in range(sum((i, t) == x for x in TEXTS for t in [_t for (a, _t) in ids if a == i and ids[(a, _t)] == v][:1])) if i == doc_id)
-        parts = sorted([r for r in got if r.doc_id == doc_id], key=lambda r: (r.start, r.sequence_id, r.offset))
-        assert sum(len(w) for w in whole) == sum(r.length for r in parts)
-        assert sum(sum(w) for w in whole) == sum(sum(r.ids) for r in parts)
+        assert r.offset == sequences.get(r.sequence_id, 0)
+        sequences[r.sequence_id] = r.offset + r.length
+        if r.start == 0:
+            found.append((r.doc_id, r.doc_tokens, []))
+        assert found[-1][0] == r.doc_id and len(found[-1][2]) == r.start
+        found[-1][2].extend(r.ids)
+    assert max(sequences.values()) <= 64 and sum(n < 64 for n in sequences.values()) <= 4
+    want = [(i, [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]) for i, t in [*TEXTS, *more]]
+    assert counted((i, n, tuple(ids)) for i, n, ids in found) == counted((i, len(ids), tuple(ids)) for i, ids in want)
     assert packing.pack(empty).count() == 0
 
 
@@ -456,9 +454,8 @@ def test_encoder_equals_tokenizers():
 
     path = str(public_tokenizers.path("byte_bpe_50k.json"))
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    samples = [t or "" for _, t in TEXTS] + ["<|endoftext|> a", "  \n\t x  ", "   ", "a" * 3000, "don't I'LL 12345 ½", "퟿\U0001f600"]
-    assert [packing.encoder(path).encode_ordinary(t) for t in samples] == [tokenizer.encode(t, add_special_tokens=False).ids for t in samples]
+    samples = [t or "" for _, t in TEXTS] + ["<|endoftext|> a", "a  <|endoftext|>  b <|endoftext|", "  \n\t x  ", "   ", "a" * 3000, "don't I'LL 12345 ½", "퟿\U0001f600"]
+    assert [packing.encoder(path)(t) for t in samples] == [tokenizer.encode(t, add_special_tokens=False).ids for t in samples]
 
 
 def test_hilbert_neighbours_are_adjacent():

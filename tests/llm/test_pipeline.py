@@ -71,7 +71,7 @@ def test_pipeline(spark, corpus):
     assert set(texts) == set(want)
     import public_tokenizers
 
-    encode = packing.encoder(str(public_tokenizers.path("byte_bpe_50k.json"))).encode_ordinary
+    encode = packing.encoder(str(public_tokenizers.path("byte_bpe_50k.json")))
     assert all(texts[i] == [*encode(t), 0] for i, t in want.items())
 
 
