@@ -36,29 +36,63 @@ ENCODINGS = (
     ("base64", r"[A-Za-z0-9+/]+", 64),
     ("base64url", r"[A-Za-z0-9_-]+", 64),
 )
+#: Elements of a block of an array that is built element by element; code points of a piece of a text that is cut.
+BLOCK, PIECE = 256, 1024
 #: Level at which the battery rejects randomness; share of class changes between neighbours in ordinary text.
 REJECT, TEXT_CHANGE = 0.001, 0.08
 #: Tolerated share of false discoveries, lengths at which a new class begins, and bins a decade of p.
 FALSE_SHARE, LENGTH_CLASSES, BINS = 0.01, (20, 24, 32, 48, 64), 8
 
 
+def let(value: Column, body) -> Column:
+    """body of value, which is computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def folded(xs: Column, carry: Column, item: str, step) -> Column:
+    """The items that step(carry, x), a struct of carry and item, makes of each element in turn.
+
+    An array can only grow by being copied, so items grow in blocks and the blocks in an outer array: the time is in
+    proportion to the elements, and not to their square.
+    """
+    blocks = F.when(F.size(xs) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int")), lambda i: F.slice(xs, i * BLOCK + 1, F.lit(BLOCK))))
+    empty = lambda kind: F.array().cast(f"array<{kind}>")
+    add = lambda a, made: F.struct(made["carry"].alias("carry"), F.array_append(a["items"], made["item"]).alias("items"))
+    own = lambda a, block: F.aggregate(block, F.struct(a["carry"].alias("carry"), empty(item).alias("items")), lambda b, x: let(step(b["carry"], x), lambda made: add(b, made)))
+    grow = lambda a, block: let(own(a, block), lambda made: F.struct(made["carry"].alias("carry"), F.array_append(a["items"], made["items"]).alias("items")))
+    return F.coalesce(F.flatten(F.aggregate(blocks, F.struct(carry.alias("carry"), empty(f"array<{item}>").alias("items")), grow, lambda a: a["items"])), empty(item))
+
+
+SPAN = "struct<start:int,end:int,found:string>"
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as (start, end, found), in code points, end exclusive.
 
     What lies between the matches comes from a split at the same pattern, so the positions are the
     running lengths of both; the arrays are only as long as there are matches.
     """
+
+    def step(upto: Column, x: Column) -> Column:
+        start = upto + F.length(x["gap"])
+        span = lambda at: F.struct(at["end"].alias("carry"), F.struct(at["start"].alias("start"), at["end"].alias("end"), x["found"].alias("found")).alias("item"))
+        return let(F.struct(start.alias("start"), (start + F.length(x["found"])).alias("end")), span)
+
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern)
-    zero = F.struct(F.lit(0).alias("upto"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("spans"))
+    some = lambda found: F.when(F.size(found) > 0, let(F.zip_with(found, F.slice(F.split(text, pattern), 1, F.size(found)), lambda f, g: F.struct(g.alias("gap"), f.alias("found"))), lambda pairs: folded(pairs, F.lit(0), SPAN, step)))
+    return F.coalesce(let(found, some), F.array().cast(f"array<{SPAN}>"))
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["upto"] + F.length(x["gap"])
-        end = start + F.length(x["found"])
-        return F.struct(end.alias("upto"), F.concat(a["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["found"].alias("found")))).alias("spans"))
 
-    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda f, g: F.struct(g.alias("gap"), f.alias("found")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, zero, step, lambda a: a["spans"])).otherwise(zero["spans"])
+def apart(tokens: Column, assigned: Column) -> Column:
+    """The tokens that overlap no base span: those that hold an access key or hex run hold it whole, and the assignments are met in one pass over both by place."""
+    plain = F.filter(tokens, lambda t: ~t["found"].rlike(f"{BASE['access']}|{BASE['hex']}"))
+    # an assignment is placed at its start, before tokens that end there or later; ends rise with starts
+    place = lambda x, at, kind: F.struct(at.alias("at"), kind.alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["found"].alias("found"))
+    both = F.concat(F.transform(plain, lambda t: place(t, t["end"] - 1, F.lit(1))), F.transform(assigned, lambda b: place(b, b["start"], F.lit(0))))
+    own = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["found"].alias("found"))
+    step = lambda last, x: F.struct(F.when(x["kind"] == 0, x["end"]).otherwise(last).alias("carry"), F.when((x["kind"] == 1) & (x["start"] >= last), own(x)).alias("item"))
+    met = lambda both: F.filter(folded(F.array_sort(both), F.lit(0), SPAN, step), lambda t: t.isNotNull())
+    return F.when(F.size(tokens) > 0, let(both, met)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def normal_tail(z: Column) -> Column:
@@ -70,11 +104,6 @@ def normal_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
-def let(value: Column, body) -> Column:
-    """body of value, which is computed once however often body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
 
@@ -183,8 +212,9 @@ def scan(documents: DataFrame) -> DataFrame:
     """(document, text, spans) for every row of documents(text, ...), all columns of which are in document: spans of (start, kind, end, found), by start and then in the order of KINDS.
 
     Positions are code points, ends exclusive. Base spans come from the patterns; a random span is a
-    token of the battery that overlaps none of them. A null text is empty; repeated rows are scanned
-    each (each token counts in the discovery control); an empty table gives no rows.
+    token of the battery that overlaps none of them. A null text is empty; the time of a very long text is in
+    proportion to its length and matches; repeated rows are scanned each (each token counts in the discovery
+    control); an empty table gives no rows.
     """
     rows = documents.select(F.struct("*").alias("document"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kept = {
@@ -193,10 +223,10 @@ def scan(documents: DataFrame) -> DataFrame:
         "hex": lambda x: F.lit(True),
     }
     tagged = lambda spans, i: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(i).alias("kind"), x["end"].alias("end"), x["found"].alias("found")))
-    base = [tagged(F.filter(matches(F.col("text"), pattern), kept[kind]), KINDS.index(kind)) for kind, pattern in BASE.items()]
-    rows = rows.withColumn("base", F.concat(*base))
-    tokens = F.filter(matches(F.col("text"), TOKEN), lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
-    rows = rows.withColumn("tokens", tokens)
+    base = {kind: F.filter(matches(F.col("text"), pattern), kept[kind]) for kind, pattern in BASE.items()}
+    tokens = let(matches(F.col("text"), TOKEN), lambda t: apart(t, F.col("assign")))
+    rows = rows.withColumns(base).withColumn("tokens", tokens)
+    rows = rows.select("document", "text", "tokens", F.concat(*(tagged(F.col(kind), i) for i, kind in enumerate(BASE))).alias("base"))
     rows = rows.withColumn("tokens", F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["found"].alias("found"), battery(t["found"]).alias("p"))))
     verdict = lambda t: F.struct(length_class(F.length(t["found"])).alias("length_class"), F.when(t["p"]["p_random"] >= REJECT, p_bin(t["p"]["p_text"])).otherwise(0).alias("bin"))
     least = thresholds(rows.select(F.explode(F.transform("tokens", verdict)).alias("v")).select("v.*"))
@@ -213,14 +243,24 @@ def scan(documents: DataFrame) -> DataFrame:
 
 def masked(found: DataFrame) -> DataFrame:
     """scan's documents with all columns and their spans blotted out of text: each maximal run of covered characters becomes [SECRET]; n_chars, where there is one, follows."""
-    zero = F.struct(F.lit(0).alias("upto"), F.array().cast("array<string>").alias("parts"))
-
-    def step(a: Column, x: Column) -> Column:
-        apart = (x["start"] > a["upto"]) | (F.size(a["parts"]) == 0)
-        parts = F.when(apart, F.concat(a["parts"], F.array(F.substring("text", a["upto"] + 1, x["start"] - a["upto"]), F.lit("[SECRET]")))).otherwise(a["parts"])
-        return F.struct(F.greatest(a["upto"], x["end"]).alias("upto"), parts.alias("parts"))
-
-    blotted = F.aggregate("spans", zero, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring("text", a["upto"] + 1, F.length("text"))))
+    whole = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def part(pieces: Column, a: Column, b: Column) -> Column:
+        """The code points from a to b, by the pieces that hold them, as finding a place in a string is as long as what lies before it."""
+        first = F.floor(a / PIECE).cast("int")
+        own = F.slice(pieces, first + 1, F.greatest(F.ceil(b / PIECE).cast("int") - first, F.lit(0)))
+        cut = lambda p, i: let((first + i) * PIECE, lambda at: F.substring(p, F.greatest(a - at, F.lit(0)) + 1, F.least(b - at, F.lit(PIECE)) - F.greatest(a - at, F.lit(0))))
+        return F.when(b > a, F.array_join(F.transform(own, cut), "")).otherwise("")
+
+    def blot(pieces: Column) -> Column:
+        step = lambda upto, x: F.struct(
+            F.greatest(upto, x["end"]).alias("carry"),
+            F.when((x["start"] > upto) | (upto == 0), F.concat(part(pieces, upto, x["start"]), F.lit("[SECRET]"))).otherwise("").alias("item"),
+        )
+        end = F.array_max(F.transform("spans", lambda x: x["end"]))
+        return F.concat(F.array_join(folded(F.col("spans"), F.lit(0), "string", step), ""), part(pieces, end, F.length("text")))
+
+    blotted = let(whole, blot)
     columns = found.schema["document"].dataType.fieldNames()
     text = F.when(F.size("spans") > 0, blotted).otherwise(F.col("document.text"))
     new = {"text": text} | ({"n_chars": F.when(F.size("spans") > 0, F.length(blotted).cast("long")).otherwise(F.col("document.n_chars"))} if "n_chars" in columns else {})
