@@ -93,6 +93,11 @@ def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES)
     return F.broadcast(df) if fits(df, row_bytes, limit) else df.hint("merge")
 
 
+def broadcast_by_bytes(df: DataFrame, row_bytes: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """As maybe_broadcast for rows of any width, whose bytes are summed."""
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes.cast("long"))).first()[0] or 0) <= limit else df.hint("merge")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, all else as it is; texts of ASCII only take the quicker built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

@@ -2,9 +2,10 @@
 
 Corpus counts of the test terms tell which are rarest. The index holds the postings (document,
 position) of the two rarest terms of every window, stored as a table. A posting less the term's
-offset in its item is an alignment; alignments at which both terms of a window meet are
-candidates, and the words there are compared one by one. Everything runs as DataFrame operations;
-no text crosses an exchange while the candidates are few enough to broadcast.
+offset in a window is where the window would start; starts at which both terms' postings meet are
+candidates, and the words from there are looked up among the windows. Equal windows are one, so a phrase
+that an item or a document repeats costs no more than its distinct windows at each of its places. Everything runs as
+DataFrame operations; no text crosses an exchange while the candidates are few enough to broadcast.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import code_words, fits, joined_sha, maybe_broadcast, stored, table
+from docloom.llm.common import broadcast_by_bytes, code_words, fits, joined_sha, maybe_broadcast, stored, table
 
 WINDOW = 10
 #: Terms of a proximity match, and the words within which they must occur.
@@ -44,54 +45,56 @@ def term_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
     return words.groupBy("h").agg(F.count("*").alias("n")).join(terms, "h")
 
 
-def rare_windows(entries: DataFrame, counts: DataFrame) -> DataFrame:
-    """(entry, s, a1, a2, h1, h2): per window its two rarest offsets and their terms; a window of one word has it twice."""
-    terms = entries.select("entry", "k", "m", F.posexplode("words").alias("i", "word")).select("entry", "k", "m", "i", F.xxhash64("word").alias("h"))
-    terms = terms.join(counts, "h", "left").select("entry", "k", "m", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "i", "h").alias("t"), "i")
-    each = terms.select("entry", "t", F.explode(F.sequence(F.greatest(F.lit(0), F.col("i") - F.col("k") + 1), F.least(F.col("i"), F.col("m") - F.col("k")))).alias("s"))
-    best = each.groupBy("entry", "s").agg(F.slice(F.array_sort(F.collect_list("t")), 1, 2).alias("best"))
-    a, b = F.get("best", F.lit(0)), F.coalesce(F.get("best", F.lit(1)), F.get("best", F.lit(0)))
-    return best.where(b["n"] > 0).where(a["n"] > 0).select("entry", "s", a["i"].alias("a1"), b["i"].alias("a2"), a["h"].alias("h1"), b["h"].alias("h2"))
+def windows_of(benchmark: DataFrame, window: int) -> DataFrame:
+    """(window, words, items) for each distinct window: its words and the item_ids, as strings, of the items that hold it."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), code_words(F.col("text")).alias("all")).where(F.size("all") > 0)
+    k = F.least(F.size("all"), F.lit(window))
+    rows = rows.select("item", F.explode(F.transform(F.sequence(F.lit(1), F.size("all") - k + 1), lambda s: F.slice("all", s, k))).alias("words"))
+    rows = rows.distinct().groupBy("words").agg(F.collect_set("item").alias("items"))
+    return stored(rows.select(F.monotonically_increasing_id().alias("window"), "words", "items"), "windows")
 
 
-def candidates(documents: DataFrame, entries: DataFrame) -> DataFrame:
-    """(d1, d2, entry, shift): alignments at which the two rarest terms of some window meet; shift + offset is a position."""
-    terms = entries.select(F.explode("words").alias("word")).select(F.xxhash64("word").alias("h")).distinct()
+def rarest(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """(k, a1, h1, a2, h2): the distinct pairs of offsets and terms that are the two rarest of some window of k words; a window of one word has it twice."""
+    terms = windows.select("window", F.size("words").alias("k"), F.posexplode("words").alias("a", "word")).select("window", "k", "a", F.xxhash64("word").alias("h"))
+    terms = terms.join(maybe_broadcast(counts, 16), "h", "left").groupBy("window", "k")
+    best = terms.agg(F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "a", "h"))), 1, 2).alias("best"))  # of WINDOW terms at most
+    one, two = F.get("best", F.lit(0)), F.coalesce(F.get("best", F.lit(1)), F.get("best", F.lit(0)))
+    best = best.where((one["n"] > 0) & (two["n"] > 0))
+    return best.select("k", one["a"].alias("a1"), one["h"].alias("h1"), two["a"].alias("a2"), two["h"].alias("h2")).distinct()
+
+
+def candidates(documents: DataFrame, windows: DataFrame) -> DataFrame:
+    """(d1, d2, starts): for each document with some the sorted (start, k) at which the two rarest terms of a window of k words meet."""
+    terms = windows.select(F.explode("words").alias("word")).select(F.xxhash64("word").alias("h")).distinct()
     counts = stored(term_counts(documents, terms), "counts")
-    windows = stored(rare_windows(entries, counts), "windows")
-    offsets = windows.select("entry", F.col("a1").alias("i"), F.col("h1").alias("h")).union(windows.select("entry", "a2", "h2")).distinct()
-    offsets = stored(offsets, "offsets")
+    pairs = stored(rarest(windows, counts).withColumn("pair", F.monotonically_increasing_id()), "pairs")
+    offsets = pairs.select("pair", "k", F.explode(F.array(*(F.struct(F.col(f"a{i}").alias("a"), F.col(f"h{i}").alias("h"), F.lit(i).alias("of")) for i in (1, 2)))).alias("o"))
+    offsets = stored(offsets.select("pair", "k", "o.*"), "offsets")
     index = stored(token_stream(documents).join(maybe_broadcast(offsets.select("h").distinct(), 16), "h"), "index")
-    aligned = index.join(maybe_broadcast(offsets, 32), "h").select("d1", "d2", "entry", (F.col("pos") - F.col("i")).alias("shift"), "i")
-    met = aligned.groupBy("d1", "d2", "entry", "shift").agg(F.collect_set("i").alias("at"))
-    needed = windows.groupBy("entry").agg(F.collect_set(F.struct("a1", "a2")).alias("pairs"))
-    met = met.join(maybe_broadcast(needed, 512), "entry")
-    both = F.exists("pairs", lambda p: F.array_contains(F.col("at"), p["a1"]) & F.array_contains(F.col("at"), p["a2"]))
-    return met.where(both).select("d1", "d2", "entry", "shift")
+    aligned = index.join(maybe_broadcast(offsets, 32), "h").select("d1", "d2", "pair", "k", (F.col("pos") - F.col("a")).alias("start"), "of").where("start >= 0")
+    met = aligned.groupBy("d1", "d2", "pair", "k", "start").agg(F.min("of").alias("first"), F.max("of").alias("last")).where("first <> last")
+    return stored(met.groupBy("d1", "d2").agg(F.array_sort(F.collect_set(F.struct("start", "k"))).alias("starts")), "candidates")
 
 
 def compared(documents: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     """find's rows with the documents' keys."""
     documents = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    entries = entries_of(benchmark, window)
-    found = candidates(documents, entries).join(maybe_broadcast(entries, 1024), "entry")
-    asked = stored(found.groupBy("d1", "d2").agg(F.collect_list(F.struct("shift", "words", "m", "k", "items")).alias("asked")), "candidates")
+    windows = windows_of(benchmark, window)
+    asked = candidates(documents, windows)
     rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", *document_key(), code_words(F.col("text")).alias("words"))
-    rows = rows.join(maybe_broadcast(asked, 2048), ["d1", "d2"], "left")
-
-    def aligned(c: Column) -> Column:
-        skip = F.greatest(F.lit(0), -c["shift"])
-        part = F.slice("words", c["shift"] + skip + 1, F.greatest(F.lit(0), c["m"] - skip))
-        same = F.zip_with(F.slice(c["words"], skip + 1, F.greatest(F.lit(0), c["m"] - skip)), part, lambda x, y: F.coalesce(x == y, F.lit(False)))
-        return F.struct((c["shift"] + skip).alias("at"), c["k"].alias("k"), same.alias("same"), c["items"].alias("items"))
-
-    rows = rows.select("row", "doc_id", "d1", "d2", F.size("words").cast("long").alias("n_words"), F.explode_outer(F.transform("asked", aligned)).alias("c"))
-    rows = rows.select("row", "doc_id", "d1", "d2", "n_words", "c.*")
-    starts = F.when(F.size("same") >= F.col("k"), F.sequence(F.lit(1), F.size("same") - F.col("k") + 1)).otherwise(F.array().cast("array<int>"))
-    starts = F.filter(starts, lambda s: F.forall(F.slice("same", s, F.col("k")), lambda x: x))
-    rows = rows.withColumn("starts", starts)
-    rows = rows.select("row", "doc_id", "d1", "d2", "n_words", F.when(F.size("starts") > 0, F.col("items")).alias("items"), F.transform("starts", lambda s: F.struct((F.col("at") + s - 1).alias("start"), (F.col("at") + s - 1 + F.col("k")).alias("end"))).alias("hits"))
-    rows = rows.groupBy("row", "doc_id", "d1", "d2", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    rows = rows.join(broadcast_by_bytes(asked, 64 + 32 * F.size("starts")), ["d1", "d2"], "left")
+    there = F.transform("starts", lambda s: F.struct(s["start"].alias("start"), (s["start"] + s["k"]).alias("end"), F.array_join(F.slice("words", s["start"] + 1, s["k"]), " ").alias("found")))
+    rows = stored(rows.select("row", "doc_id", "d1", "d2", F.size("words").cast("long").alias("n_words"), there.alias("there")), "met")
+    known = windows.select(F.array_join("words", " ").alias("found"), "items")  # words have no spaces
+    known = broadcast_by_bytes(known, 128 + F.octet_length("found") + 32 * F.size("items") + F.octet_length(F.array_join("items", "")))
+    hit = rows.where("there IS NOT NULL").select("row", F.explode("there").alias("s")).select("row", "s.*").join(known, "found")
+    named = hit.select("row", F.explode("items").alias("item")).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    spans = hit.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("hits"))
+    spans = stored(spans.join(named, "row", "left"), "hit")
+    rows = rows.drop("there").join(broadcast_by_bytes(spans, 64 + 32 * F.size("hits") + 32 * F.coalesce(F.size("items"), F.lit(0)) + F.coalesce(F.octet_length(F.array_join("items", "")), F.lit(0))), "row", "left")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    rows = rows.select("doc_id", "d1", "d2", "n_words", none("hits", "struct<start:int,end:int>"), none("items", "string"))
     zero = F.struct(F.lit(0).alias("upto"), F.lit(0).alias("n"))
     step = lambda a, x: F.struct(F.greatest(a["upto"], x["end"]).alias("upto"), (a["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(a["upto"], x["start"]))).alias("n"))
     return rows.select("doc_id", "d1", "d2", "n_words", F.aggregate("hits", zero, step, lambda a: a["n"]).cast("long").alias("n_hit"), "hits", "items")
@@ -104,8 +107,9 @@ def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     the occurrences of windows, as sorted (start, end) in words of the document; n_hit is how many
     words they cover; items are the item_ids, as strings, with a window that occurs. Null and empty
     texts have no words; items without words or windows match nothing, an item without an id is
-    hit but not named; repeated rows are answered each; other columns are ignored; an empty
-    benchmark hits nothing, no documents give no rows.
+    hit but not named; a very long text is one row of words and takes time in proportion to them; a doc_id that is no whole
+    number fails, or counts as null where spark.sql.ansi.enabled is false; repeated rows are answered each; other
+    columns are ignored; an empty benchmark hits nothing, no documents give no rows.
     """
     return compared(documents, benchmark, window).drop("d1", "d2")
 

@@ -90,6 +90,7 @@ def test_decontamination_without_broadcast(spark, documents, monkeypatch):
     usual = decontamination.find(documents, items).select("doc_id", "n_hit").collect()
     monkeypatch.setattr(decontamination, "fits", lambda *a: False)
     monkeypatch.setattr(decontamination, "maybe_broadcast", lambda df, *a: df.hint("merge"))
+    monkeypatch.setattr(decontamination, "broadcast_by_bytes", lambda df, *a: df.hint("merge"))
     assert counted(map(tuple, decontamination.find(documents, items).select("doc_id", "n_hit").collect())) == counted(map(tuple, usual))
 
 
@@ -99,6 +100,14 @@ def test_proximity(spark):
     assert [tuple(r) for r in decontamination.near(docs, items, 3, 20).collect()] == [(1, "9")]
 
 
+def test_decontamination_of_repetitive_texts(spark):
+    phrase = [f"w{i % 10}" for i in range(10_000)]
+    docs = spark.createDataFrame([(1, " ".join(phrase)), (2, " ".join(phrase[3:12])), (3, " ".join(phrase[3:13]) + " x"), (4, "a " * 5000)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(phrase[:6400])), (2, "a " * 3000), (3, "a")], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontamination.find(docs, items).collect()}
+    assert got == {1: (10_000, 10_000, ["1"]), 2: (9, 0, []), 3: (11, 10, ["1"]), 4: (5000, 5000, ["2", "3"])}
+
+
 def test_toxicity(spark, empty):
     r = random.Random(1)
     bad = ["awful", "rotten", "vile"]
