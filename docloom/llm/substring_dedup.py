@@ -267,33 +267,55 @@ def gathered(column, i: int) -> np.ndarray:
     return np.frombuffer(b"".join(parts) if isinstance(parts, list) else parts or b"", MARK)
 
 
+#: Bytes of contexts that leave a worker together.
+OPENED_BYTES = 4 << 20
 OPENED = RESULT + ", doc long, same long, anchor long, start long, context binary"
 
 
 def open_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, doc, same, text, marks) to RESULT, as if no open context were repeated, and to the open contexts as (doc, same, anchor, start, context)."""
+    """(doc_id, doc, same, text, marks) to RESULT, as if no open context were repeated, and to the open contexts as (doc, same, anchor, start, context).
+
+    Contexts leave by OPENED_BYTES, within documents too, and as whole columns: a worker holds no object for each.
+    """
     for batch in batches:
-        rows = []
+        rows, held, size = [], [], 0
         for i, (doc_id, doc, same, text) in enumerate(zip(*(batch.column(k) for k in range(4)), strict=True)):
-            doc_id, doc, same, text = doc_id.as_py(), doc.as_py(), same.as_py(), text.as_py()
+            text = np.frombuffer(text.as_buffer(), np.uint8)
             marks = gathered(batch.column(4), i)
-            open_ = marks[marks["anchor"] != 0]
-            gone = marks[marks["anchor"] == 0]
-            removed, spans, sha, _, runs = cut(text, gone["start"], gone["n"])
-            rows.append((doc_id, len(text), removed, spans, sha, [{"start": a, "end": b} for a, b in runs], doc, same, None, None, None))
-            for s, n, anchor in zip(open_["start"].tolist(), open_["n"].tolist(), open_["anchor"].view(np.int64).tolist(), strict=True):
-                rows.append((None, None, None, None, None, None, doc, same, anchor, s, text[s : s + n - 1 + WINDOW]))
-            if len(rows) >= 4096:
-                yield opened(rows)
-                rows = []
-        yield opened(rows)
-
-
-def opened(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 4 + [pa.string(), _SPANS] + [pa.int64()] * 4 + [pa.binary()]
-    columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
-    names = [x.split()[0] for x in OPENED.split(", ")]
-    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            gone, open_ = marks[marks["anchor"] == 0], marks[marks["anchor"] != 0]
+            removed, spans, sha, _, runs = cut(text.tobytes(), gone["start"], gone["n"])
+            rows.append((doc_id.as_py(), len(text), removed, spans, sha, [{"start": a, "end": b} for a, b in runs], doc.as_py(), same.as_py()))
+            ends = np.cumsum(open_["n"].astype(np.int64) - 1 + WINDOW)
+            at = 0
+            while at < len(open_):
+                upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + OPENED_BYTES - size, "right")))
+                part = open_[at:upto]
+                held.append((np.full(len(part), doc.as_py()), np.full(len(part), same.as_py()), part["anchor"].view(np.int64), part["start"].astype(np.int64), *sliced(text, part)))
+                size += int(ends[upto - 1] - (ends[at - 1] if at else 0))
+                at = upto
+                if size >= OPENED_BYTES:
+                    yield opened([], held)
+                    held, size = [], 0
+        yield opened(rows, held)
+
+
+def sliced(text: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the marks' contexts, end to end, and their lengths."""
+    length = marks["n"].astype(np.int64) - 1 + WINDOW
+    before = np.cumsum(length) - length
+    return text[np.repeat(marks["start"].astype(np.int64) - before, length) + np.arange(length.sum())], length
+
+
+def opened(rows: list[tuple], held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 4 + [pa.string(), _SPANS] + [pa.int64()] * 2
+    columns = [pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) if rows else [()] * len(kinds), kinds, strict=True)]
+    doc, same, anchor, start, data, length = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint8), np.zeros(0, np.int64))
+    offsets = np.r_[0, np.cumsum(length)].astype(np.int32)
+    contexts = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+    left = [pa.concat_arrays([c, pa.nulls(len(doc), c.type)]) for c in columns[:6]]
+    both = [pa.concat_arrays([c, pa.array(x, pa.int64())]) for c, x in zip(columns[6:], (doc, same), strict=True)]
+    right = [pa.concat_arrays([pa.nulls(len(rows), x.type), x]) for x in (pa.array(anchor, pa.int64()), pa.array(start, pa.int64()), contexts)]
+    return pa.record_batch([*left, *both, *right], names=[x.split()[0] for x in OPENED.split(", ")])
 
 
 def repeated_windows(doc: np.ndarray, same: np.ndarray, start: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
