@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import html.parser
 import math
 import re
 import statistics
 import string
+import urllib.parse
 from collections import Counter
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -150,3 +152,60 @@ class Spelling:
     def ratio(self, text):
         told = [self.word(w) for w in self.words(text)]
         return sum(told) / len(told) - statistics.median(told) if told else 0.0
+
+
+class Links(html.parser.HTMLParser):
+    """Base, canonical links and refresh targets of a page."""
+
+    def __init__(self, text):
+        super().__init__()
+        self.base, self.found = None, []
+        self.feed(text or "")
+
+    def handle_starttag(self, tag, attrs):
+        a = {k: v or "" for k, v in reversed(attrs)}
+        if tag == "base" and self.base is None:
+            self.base = a.get("href", "").strip()
+        if tag == "link" and "canonical" in a.get("rel", "").lower().split():
+            self.found.append(a.get("href", "").strip())
+        if tag == "meta" and a.get("http-equiv", "").strip().lower() == "refresh":
+            target = re.match(r"(?i)[\s0-9.]*[;,\s]\s*(?:url\s*=\s*)?(.*)$", a.get("content", ""))
+            self.found.append(target[1].strip().strip("'\"") if target else "")
+
+
+def url_node(url):
+    scheme, mark, rest = (url or "").partition("://")
+    host = re.match(r"[^/?#]*", rest)[0]
+    if not mark or not host:
+        return None
+    path = rest[len(host) :].partition("#")[0]
+    path, query, more = path.partition("?")
+    kept: list[str] = []
+    parts = path.split("/")[1:]
+    for x in parts if "/." in path else []:
+        kept = kept if x == "." else kept[:-1] if x == ".." else [*kept, x]
+    if "/." in path:
+        path = "/" + "/".join([*kept, ""] if parts[-1] in (".", "..") else kept)
+    return f"{scheme.lower()}://{host.lower()}{path + query + more or '/'}"
+
+
+def aliases(pages):
+    """The sets of nodes that canonical links and refreshes join."""
+    up: dict = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for url, text in pages:
+        links = Links(text)
+        base = urllib.parse.urljoin(url, links.base) if links.base else url
+        for href in links.found:
+            a, b = url_node(url), url_node(urllib.parse.urljoin(base, href)) if href else None
+            if a and b:
+                up[top(a)] = top(b)
+    out: dict = {}
+    for x in list(up):
+        out.setdefault(top(x), set()).add(x)
+    return [s for s in out.values() if len(s) > 1]

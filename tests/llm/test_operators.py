@@ -512,6 +512,25 @@ def test_url_filter(spark):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_alias_edges_equal_a_parser_and_resolver(spark):
+    r = random.Random(31)
+    hrefs = ["y.html", "b", "../up", "./here", "/root", "/a/../b", "?q=1", "//other.org/x", "http://far.net/p", "HTTP://FAR.net/p", "sub/dir/", "b&amp;c?x=1&amp;y=2", "caf&#233;", "&#x2f;hex", "a&colon;b/c", "&sol;named", "x&unknown", "..", "z?u=http://q.org/", ""]
+    tags = [
+        "<link rel=canonical href='{}'>", '<LINK REL="alternate Canonical" HREF="{}">', '<link href="{}" rel=\'canonical\'/>', '<link rel="stylesheet" href="{}" title="canonical">', "<link rel=canonically href='{}'>",
+        '<meta http-equiv="refresh" content="0; url={}">', "<meta content='5;URL={}' http-equiv=Refresh>", '<meta name="refresh" content="0; url={}">', '<link data-rel="canonical" href="{}">', '<meta http-equiv="refresh" content="30">',
+    ]
+    pages = []
+    for i in range(250):
+        body = "".join(r.choice(tags).format(r.choice(hrefs)) for _ in range(r.randint(0, 2)))
+        base = r.choice(["", "", '<base href="http://base.org/dir/page">', "<base target=_top href='/moved/'>"])
+        pages.append((i, f"http://h{i}.test/{r.choice(['', 'a/b', 'a/b/c.html?k=v'])}", f"<head>{base}{body}</head>"))
+    edges = url_filter.alias_edges(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    got: dict = {}
+    for x in url_filter.components(edges).collect():
+        got.setdefault(x.component, set()).add(x.node)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, brute.aliases([(u, h) for _, u, h in pages])))
+
+
 def test_url_filter_resolves_every_form_of_reference(spark):
     link, refresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
     forms = [
