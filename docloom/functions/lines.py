@@ -26,11 +26,19 @@ def split_lines(docs: DataFrame, key: str = "doc_id", md: str = "md") -> DataFra
     return rows.select(key, F.col("line_no").cast("long").alias("line_no"), "line", (F.col("fence") | (F.col("fence_no") % 2 == 1)).alias("fenced"), "fence", "fence_no")
 
 
+HEADING = r"^#{1,6}[ \t]+\S"
+
+
+def heading_text(line: Column) -> Column:
+    """Text of an ATX heading, null for other lines."""
+    text = F.trim(F.regexp_replace(F.regexp_replace(line, r"^#{1,6}[ \t]+", ""), r"[ \t]+#+[ \t]*$", ""))
+    return F.when(line.rlike(HEADING), text)
+
+
 def headings(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, line_no, level, text) of the ATX headings outside fences."""
-    h = lines.where(~F.col("fenced") & F.col("line").rlike(r"^#{1,6}[ \t]+\S"))
-    text = F.trim(F.regexp_replace(F.regexp_replace("line", r"^#{1,6}[ \t]+", ""), r"[ \t]+#+[ \t]*$", ""))
-    return h.select(key, "line_no", F.length(F.regexp_extract("line", r"^(#{1,6})", 1)).cast("long").alias("level"), text.alias("text"))
+    h = lines.where(~F.col("fenced") & F.col("line").rlike(HEADING))
+    return h.select(key, "line_no", F.length(F.regexp_extract("line", r"^(#{1,6})", 1)).cast("long").alias("level"), heading_text(F.col("line")).alias("text"))
 
 
 def heading_slug(text: Column) -> Column:

@@ -61,10 +61,10 @@ def abbr_defs(spark, sf_dir):
 
 
 def abbr_uses(spark, sf_dir):
-    """Occurrences of each defined key in the lines that define nothing."""
-    rows = _lines(spark, sf_dir).where(~F.col("line").startswith("*["))
-    count = lambda k: F.sum(F.regexp_count("line", F.lit(rf"(?<![0-9A-Za-z_]){k}(?![0-9A-Za-z_])"))).cast("long").alias(k)
-    return rows.groupBy("doc_id").agg(count("le"), count("la"))
+    """How often each key that a document defines occurs as a word in its lines that define nothing."""
+    rest = F.array_join(F.filter(F.split("md", "\n"), lambda x: ~x.startswith("*[")), "\n")
+    rows = documents(spark, sf_dir).select("doc_id", rest.alias("rest")).join(abbr_defs(spark, sf_dir).select("doc_id", "key"), "doc_id")
+    return rows.select("doc_id", "key", F.regexp_count("rest", F.concat(F.lit(r"(?<![0-9A-Za-z_])\Q"), "key", F.lit(r"\E(?![0-9A-Za-z_])"))).cast("long").alias("uses"))
 
 
 def wikilinks(spark, sf_dir):
@@ -72,61 +72,51 @@ def wikilinks(spark, sf_dir):
     return rows.select("doc_id", F.col("n").cast("long").alias("n"), X.wikilink(F.col("inner")).alias("w")).select("doc_id", "n", "w.href", "w.shown")
 
 
+def _marked(lines: DataFrame, **patterns: str) -> DataFrame:
+    """(doc_id, line_no, ...) of every line outside fences that has some of the patterns' first groups, comma-joined."""
+    found = [F.array_join(F.regexp_extract_all("line", F.lit(p), F.lit(1)), ",").alias(name) for name, p in patterns.items()]
+    return lines.where(~F.col("fenced")).select("doc_id", "line_no", *found).where(" OR ".join(f"{name} <> ''" for name in patterns))
+
+
 def sup_sub(spark, sf_dir):
-    rows = _lines(spark, sf_dir).where("line LIKE 'E = mc%'")
-    return rows.select("doc_id", F.array_join(F.regexp_extract_all("line", F.lit(r"\^([^\s^]+)\^"), F.lit(1)), ",").alias("sups"), F.array_join(F.regexp_extract_all("line", F.lit(r"~([^\s~]+)~"), F.lit(1)), ",").alias("subs"))
+    """Superscripts and subscripts of every line outside fences."""
+    return _marked(_lines(spark, sf_dir), **SCRIPTS)
 
 
 def mark_ins(spark, sf_dir):
-    rows = _lines(spark, sf_dir).where("line LIKE 'E = mc%'")
-    return rows.select("doc_id", F.regexp_extract("line", r"==([^=]+)==", 1).alias("mark"), F.regexp_extract("line", r"\+\+([^+]+)\+\+", 1).alias("ins"))
+    """Marked and inserted text of every line outside fences."""
+    return _marked(_lines(spark, sf_dir), **MARKS)
 
 
-def front_matter(spark, sf_dir):
-    """Flat keys of the front matter."""
-    rows = L.split_lines(documents(spark, sf_dir)).where("line_no BETWEEN 1 AND 2")
-    return rows.select("doc_id", F.regexp_extract("line", r"^([a-z]+): ", 1).alias("key"), F.regexp_extract("line", r"^[a-z]+: (.*)$", 1).alias("value"))
+SCRIPTS = {"sups": r"\^([^ \t\r\f^]+)\^", "subs": r"~([^ \t\r\f~]+)~"}
+MARKS = {"marks": r"==([^=]+)==", "inss": r"\+\+([^+]+)\+\+"}
+FRONT = r"(?s)^---[ \t]*\n(.*?)\n---[ \t]*(?:\n|$)"
 
 
-def active_section(spark, sf_dir):
-    """For each twentieth line the last heading at or above it, else the first one of the document."""
-    lines = _lines(spark, sf_dir)
-    heads = L.headings(lines).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("heads"))
-    at = lines.where("line_no % 20 = 0").select("doc_id", "line_no").join(heads, "doc_id")
-    above = F.filter("heads", lambda h: h["line_no"] <= F.col("line_no"))
-    return at.select("doc_id", "line_no", F.when(F.size(above) > 0, F.element_at(above, -1)["text"]).otherwise(F.element_at("heads", 1)["text"]).alias("section"))
+def front_matter(spark, sf_dir):
+    """Flat keys of the front matter."""
+    rows = documents(spark, sf_dir).select("doc_id", F.explode(F.split(F.regexp_extract("md", FRONT, 1), "\n")).alias("line"))
+    rows = rows.select("doc_id", F.regexp_extract("line", r"^([A-Za-z0-9_-]+): ", 1).alias("key"), F.regexp_extract("line", r"^[A-Za-z0-9_-]+: (.*)$", 1).alias("value"))
+    return rows.where("key <> ''")
 
 
 def sections_of_lines(lines: DataFrame) -> DataFrame:
     """(doc_id, line_no, section) for every line: the last heading at or above it, else the first one of the document, else null."""
-    heads = L.headings(lines).select("doc_id", "line_no", "text")
-    rows = lines.select("doc_id", "line_no").join(heads, ["doc_id", "line_no"], "left")
+    rows = lines.select("doc_id", "line_no", F.when(~F.col("fenced"), L.heading_text(F.col("line"))).alias("text"))
     w = Window.partitionBy("doc_id").orderBy("line_no")
     above = F.last("text", ignorenulls=True).over(w)
     below = F.first("text", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return rows.select("doc_id", "line_no", F.coalesce(above, below).alias("section"))
 
 
-def marks_of_lines(lines: DataFrame) -> DataFrame:
-    """(doc_id, line_no, sups, subs, marks, inss) of every line outside fences that has any of them."""
-    found = lambda pattern: F.regexp_extract_all("line", F.lit(pattern), F.lit(1))
-    rows = lines.where(~F.col("fenced")).select("doc_id", "line_no", found(r"\^([^\s^]+)\^").alias("sups"), found(r"~([^\s~]+)~").alias("subs"), found(r"==([^=]+)==").alias("marks"), found(r"\+\+([^+]+)\+\+").alias("inss"))
-    return rows.where("size(sups) + size(subs) + size(marks) + size(inss) > 0")
-
-
-def active_section_all(spark, sf_dir):
-    """active_section for every line."""
+def active_section(spark, sf_dir):
+    """For each line the last heading at or above it, else the first one of the document."""
     return sections_of_lines(_lines(spark, sf_dir))
 
 
-def marks_all(spark, sf_dir):
-    """sup_sub and mark_ins for every line outside fences."""
-    return marks_of_lines(_lines(spark, sf_dir))
-
-
 QUERIES = {
     f.__name__: f
-    for f in (outline, toc_by_doc, first_h1_title, code_langs, fence_dispatch, alerts, containers, abbr_defs, abbr_uses, wikilinks, sup_sub, mark_ins, front_matter, active_section, active_section_all, marks_all)
+    for f in (outline, toc_by_doc, first_h1_title, code_langs, fence_dispatch, alerts, containers, abbr_defs, abbr_uses, wikilinks, sup_sub, mark_ins, front_matter, active_section)
 }
 
 _HEADS = (
@@ -147,6 +137,13 @@ slugs AS (SELECT *, row_number() OVER (PARTITION BY doc_id, base ORDER BY line_n
 _FENCED = LINES_SQL + ",\nnumbered AS (SELECT *, sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS no FROM lines)"
 _LANG = "lower(trim(regexp_replace(line, '^ {0,3}[`~]+', '')))"
 
+
+
+def _marked_sql(patterns: dict[str, str]) -> str:
+    found = ", ".join(f"array_to_string(regexp_extract_all(line, '{p}', 1), ',') AS {name}" for name, p in patterns.items())
+    return f"WITH {LINES_SQL} SELECT * FROM (SELECT doc_id, line_no, {found} FROM lines WHERE NOT fenced) WHERE " + " OR ".join(f"{name} <> ''" for name in patterns)
+
+
 ORACLE_SQL = {
     "outline": f"WITH {_HEADS} SELECT doc_id, line_no, level, text FROM heads",
     "toc_by_doc": f"""WITH {_SLUGS}
@@ -174,9 +171,10 @@ FROM parts""",
 SELECT doc_id, trim(regexp_extract(line, '^\*\[([^\]]+)\]:[ \t]*(.+?)[ \t]*$', 1)) AS key,
   arg_max(regexp_extract(line, '^\*\[([^\]]+)\]:[ \t]*(.+?)[ \t]*$', 2), line_no) AS title
 FROM lines WHERE NOT fenced AND regexp_matches(line, '^\*\[([^\]]+)\]:[ \t]*(.+?)[ \t]*$') GROUP BY 1, 2""",
-    "abbr_uses": rf"""WITH {LINES_SQL}
-SELECT doc_id, CAST(sum(len(regexp_extract_all(line, '\ble\b'))) AS BIGINT) AS le, CAST(sum(len(regexp_extract_all(line, '\bla\b'))) AS BIGINT) AS la
-FROM lines WHERE NOT starts_with(line, '*[') GROUP BY 1""",
+    "abbr_uses": rf"""WITH {LINES_SQL},
+keys AS (SELECT DISTINCT doc_id, trim(regexp_extract(line, '^\*\[([^\]]+)\]:[ \t]*(.+?)[ \t]*$', 1)) AS key FROM lines WHERE NOT fenced AND regexp_matches(line, '^\*\[([^\]]+)\]:[ \t]*(.+?)[ \t]*$')),
+rest AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS rest FROM lines WHERE NOT starts_with(line, '*[') GROUP BY 1)
+SELECT doc_id, key, CAST(len(regexp_extract_all(rest, '\b' || regexp_escape(key) || '\b')) AS BIGINT) AS uses FROM keys JOIN rest USING (doc_id)""",
     "wikilinks": rf"""WITH {MD_SQL},
 inners AS (SELECT doc_id, list_filter(regexp_extract_all(md, '\[\[([^\n]*?)\]\]', 1), lambda x: trim(x) <> '') AS l FROM md),
 each AS (SELECT doc_id, unnest(range(len(l))) AS n, unnest(l) AS inner_ FROM inners),
@@ -185,16 +183,13 @@ parts AS (
 pages AS (SELECT *, split_part(target, '#', 1) AS page, CASE WHEN contains(target, '#') THEN substr(target, strpos(target, '#')) ELSE '' END AS section FROM parts)
 SELECT doc_id, n, CASE WHEN page <> '' AND NOT regexp_matches(page, '\.[^./\\]*$') THEN page || '.md' ELSE page END || section AS href,
   CASE WHEN shown = '' THEN target ELSE shown END AS shown FROM pages""",
-    "sup_sub": rf"""WITH {LINES_SQL}
-SELECT doc_id, array_to_string(regexp_extract_all(line, '\^([^\s^]+)\^', 1), ',') AS sups, array_to_string(regexp_extract_all(line, '~([^\s~]+)~', 1), ',') AS subs
-FROM lines WHERE line LIKE 'E = mc%'""",
-    "mark_ins": rf"""WITH {LINES_SQL}
-SELECT doc_id, regexp_extract(line, '==([^=]+)==', 1) AS mark, regexp_extract(line, '\+\+([^+]+)\+\+', 1) AS ins FROM lines WHERE line LIKE 'E = mc%'""",
-    "front_matter": rf"""WITH {LINES_SQL}
-SELECT doc_id, regexp_extract(line, '^([a-z]+): ', 1) AS key, regexp_extract(line, '^[a-z]+: (.*)$', 1) AS value FROM lines WHERE line_no BETWEEN 1 AND 2""",
-    "active_section": f"""WITH {_HEADS}
-SELECT l.doc_id, l.line_no, coalesce(
-  (SELECT arg_max(h.text, h.line_no) FROM heads h WHERE h.doc_id = l.doc_id AND h.line_no <= l.line_no),
-  (SELECT arg_min(h.text, h.line_no) FROM heads h WHERE h.doc_id = l.doc_id)) AS section
-FROM lines l WHERE l.line_no % 20 = 0""",
+    "sup_sub": _marked_sql(SCRIPTS),
+    "mark_ins": _marked_sql(MARKS),
+    "front_matter": rf"""WITH {MD_SQL},
+front AS (SELECT doc_id, unnest(string_split(regexp_extract(md, '{FRONT}', 1), chr(10))) AS line FROM md)
+SELECT doc_id, regexp_extract(line, '^([A-Za-z0-9_-]+): ', 1) AS key, regexp_extract(line, '^[A-Za-z0-9_-]+: (.*)$', 1) AS value FROM front WHERE regexp_matches(line, '^[A-Za-z0-9_-]+: ')""",
+    "active_section": f"""WITH {_HEADS},
+told AS (SELECT l.doc_id, l.line_no, h.text FROM lines l LEFT JOIN heads h ON h.doc_id = l.doc_id AND h.line_no = l.line_no)
+SELECT doc_id, line_no, coalesce(last_value(text IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  first_value(text IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS section FROM told""",
 }

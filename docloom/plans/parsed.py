@@ -57,7 +57,7 @@ def parsed_images(spark, sf_dir):
 
 
 def parsed_autolinks(spark, sf_dir):
-    return T.autolinks(_nodes(spark, sf_dir)).where("href LIKE 'https://example.org/%'").select("doc_id", "href", "shown")
+    return T.autolinks(_nodes(spark, sf_dir)).select("doc_id", "href", "shown")
 
 
 def parsed_footnotes(spark, sf_dir):
@@ -75,16 +75,6 @@ def parsed_definitions(spark, sf_dir):
 
 
 def parsed_emoji(spark, sf_dir):
-    return T.emoji(_nodes(spark, sf_dir)).where("name IN ('rocket', '+1')").groupBy("name", "sign").agg(F.count("*").alias("uses"))
-
-
-def parsed_autolinks_all(spark, sf_dir):
-    """parsed_autolinks to any address."""
-    return T.autolinks(_nodes(spark, sf_dir)).select("doc_id", "href", "shown")
-
-
-def parsed_emoji_all(spark, sf_dir):
-    """parsed_emoji of any name."""
     return T.emoji(_nodes(spark, sf_dir)).groupBy("name", "sign").agg(F.count("*").alias("uses"))
 
 
@@ -121,7 +111,7 @@ def words_by_language(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (parsed_headings, parsed_titles, parsed_links, parsed_code, parsed_alerts, parsed_containers, parsed_abbreviations, parsed_tasks, parsed_front_matter, parsed_images, parsed_autolinks, parsed_footnotes, parsed_cells, parsed_definitions, parsed_emoji, parsed_autolinks_all, parsed_emoji_all, toc_filtered, math_spans, inline_marks, find_in_nodes, render_html, words_by_language)
+    for f in (parsed_headings, parsed_titles, parsed_links, parsed_code, parsed_alerts, parsed_containers, parsed_abbreviations, parsed_tasks, parsed_front_matter, parsed_images, parsed_autolinks, parsed_footnotes, parsed_cells, parsed_definitions, parsed_emoji, toc_filtered, math_spans, inline_marks, find_in_nodes, render_html, words_by_language)
 }
 
 _WORDS = r"CAST(len(list_filter(string_split_regex(md, '[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda x: x <> '')) AS BIGINT)"
@@ -145,7 +135,8 @@ UNION ALL SELECT doc_id, '#top', 'w', 'anchor', '', '' FROM d""",
     "parsed_tasks": "SELECT doc_id, CAST(1 AS BIGINT) AS done, CAST(1 AS BIGINT) AS open FROM documents",
     "parsed_front_matter": outline.ORACLE_SQL["front_matter"],
     "parsed_images": "SELECT doc_id, 'img/' || source || '.png' AS source, '/asset?path=docs%2F' || source || '%2Fimg%2F' || source || '.png' AS resolved, 'pic ' || lang AS alt FROM documents",
-    "parsed_autolinks": "SELECT doc_id, 'https://example.org/' || doc_id AS href, 'https://example.org/' || doc_id AS shown FROM documents",
+    "parsed_autolinks": r"""SELECT doc_id, 'https://example.org/' || doc_id AS href, 'https://example.org/' || doc_id AS shown FROM documents
+UNION ALL SELECT doc_id, 'mailto:' || mail AS href, mail AS shown FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9._+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')) AS mail FROM documents)""",
     "parsed_footnotes": "SELECT doc_id, 'n' || doc_id % 3 AS label, CAST(1 AS BIGINT) AS number, CAST(2 AS BIGINT) AS refs, 'note of ' || source AS text FROM documents",
     "parsed_cells": """SELECT doc_id, CAST(r AS BIGINT) AS row_no, CAST(c AS BIGINT) AS column_no, CASE c WHEN 0 THEN 'left' ELSE 'right' END AS align,
   CASE r WHEN 0 THEN CASE c WHEN 0 THEN 'Name' ELSE 'Use' END WHEN 1 THEN CASE c WHEN 0 THEN lang ELSE '' || doc_id % 11 END ELSE CASE c WHEN 0 THEN 'b | c' ELSE '' END END AS text

@@ -188,12 +188,18 @@ def test_whole_queries_answer_every_line(spark):
     lines = outline.L.split_lines(spark.createDataFrame(list(texts.items()), "doc_id long, md string"))
     got = {(r.doc_id, r.line_no): r.section for r in outline.sections_of_lines(lines).collect()}
     assert got == {**{(1, i): "A" for i in range(6)}, (1, 6): "B", (1, 7): "B", (2, 0): None, (3, 0): "C", (3, 1): "C"}
-    marks = sorted(tuple(r) for r in outline.marks_of_lines(lines).collect())
-    assert marks == [(1, 2, ["2"], [], [], []), (1, 7, [], ["2"], ["m"], ["i"])]
-    documents = outline._lines(spark, SF)
-    assert catalog.queries()["active_section_all"](spark, SF).count() == documents.count()
-    few, every = (catalog.queries()[n](spark, SF) for n in ("active_section", "active_section_all"))
-    assert few.exceptAll(every).count() == 0
+    assert sorted(tuple(r) for r in outline._marked(lines, **outline.SCRIPTS).collect()) == [(1, 2, "2", ""), (1, 7, "", "2")]
+    assert sorted(tuple(r) for r in outline._marked(lines, **outline.MARKS).collect()) == [(1, 7, "m", "i")]
+    assert catalog.queries()["active_section"](spark, SF).count() == outline._lines(spark, SF).count()
+
+
+def test_files_that_are_not_utf8_or_too_large(spark, tmp_path):
+    for name, data in (("good.md", "# é".encode()), ("bad.md", b"# caf\xe9 \xff\n"), ("large.md", b"x" * 5000)):
+        (tmp_path / name).write_bytes(data)
+    rows = files.read_files(spark, str(tmp_path), max_bytes=1000).selectExpr("xxhash64(path) AS doc_id", "path", "md", "error")
+    got = {r.path.rsplit("/", 1)[1]: (r.md, r.error) for r in rows.collect()}
+    assert got == {"good.md": ("# é", None), "bad.md": ("# caf\ufffd \ufffd\n", None), "large.md": (None, "larger than 1000 bytes")}
+    assert {r.text for r in T.headings(T.parse_nodes(rows.where("error IS NULL"))).collect()} == {"é", "caf\ufffd \ufffd"}
 
 
 def test_entry(spark):
