@@ -37,6 +37,9 @@ ENTITY = re.compile(r"&(?:#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]{
 BARE = re.compile(r"(?:https?://|ftp://|www\.)[^\s<]+|[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", re.I)
 WORD_OF_LINK = re.compile(r"(?<![0-9A-Za-z])(?=https?://|ftp://|www\.|[A-Za-z0-9]{1,32}[._+-]?[A-Za-z0-9]{0,32}@)", re.I)
 SHORTCODE = re.compile(r":([A-Za-z0-9_+-]+):")
+#: Formulas of one line: the first sign that no backslash escapes must close it, with no space before and no digit after.
+FORMULA = re.compile(r"\$((?=[^ \t\n\r\v\f])(?:[^\\$\n]|\\[^\n])+)(?<![ \t\n\r\v\f])\$(?![0-9])")
+DISPLAYED = re.compile(r"\$\$([^\n]*?)\$\$")
 TASK = re.compile(r"\[([ xX])\](?=\s)")
 
 
@@ -222,18 +225,12 @@ class Inline:
         return m.end()
 
     def formula(self, at: int) -> int | None:
-        line = self.line(at)
-        if line.startswith("$$"):
-            close = line.find("$$", 2)
-            if close < 0:
-                return None
-            self.nodes.append(Node("math", text=line[2:close].strip(), attrs={"display": "1"}))
-            return at + close + 2
-        close = formula_end(line)
-        if close is None:
+        display = self.source.startswith("$$", at)
+        m = (DISPLAYED if display else FORMULA).match(self.source, at)
+        if not m:
             return None
-        self.nodes.append(Node("math", text=line[1:close]))
-        return at + close + 1
+        self.nodes.append(Node("math", text=m[1].strip(), attrs={"display": "1"}) if display else Node("math", text=m[1]))
+        return m.end()
 
     def script(self, at: int) -> int | None:
         char = self.source[at]
@@ -345,22 +342,6 @@ def wiki_target(inner: str) -> tuple[str, str]:
     return page + sharp + section, shown
 
 
-def formula_end(line: str) -> int | None:
-    """Where the formula that a line begins with closes; a first closing sign that may not close ends the search."""
-    if len(line) < 2 or line[1] in " \t\n\r\v\f":
-        return None
-    i = 1
-    while i < len(line):
-        if line[i] == "\\":
-            i += 2
-        elif line[i] == "$":
-            fine = i > 1 and line[i - 1] not in " \t\n\r\v\f" and line[i + 1 : i + 2] not in tuple("0123456789")
-            return i if fine else None
-        else:
-            i += 1
-    return None
-
-
 def normal(label: str) -> str:
     return " ".join(label.split()).casefold()
 

@@ -16,17 +16,18 @@ GLOB = "*.{" + ",".join((*MARKDOWN_EXTENSIONS, *(e.upper() for e in MARKDOWN_EXT
 def read_files(spark: SparkSession, path: str, max_bytes: int | None = None, glob: str = GLOB) -> DataFrame:
     """All Markdown files below a path; one too large has an error and no text, and never fails the batch.
 
-    The size test comes before the bytes are decoded, and both name and size reach the scan.
+    Bytes that are not UTF-8 become replacement characters. The names and the size limit reach the scan: of a file that is
+    too large only its entry is read.
     """
     rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     rows = rows.where(is_markdown(F.col("path")))
-    small = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
-    return rows.select(
-        F.regexp_replace("path", r"^file:(?://)?", "").alias("path"),
-        F.when(small, F.col("content").cast("string")).alias("md"),
-        F.unix_millis("modificationTime").alias("mtime_ms"),
-        F.when(~small, F.concat(F.lit("larger than "), F.lit(max_bytes or 0).cast("string"), F.lit(" bytes"))).alias("error"),
-    )
+    entry = (F.regexp_replace("path", r"^file:(?://)?", "").alias("path"), F.unix_millis("modificationTime").alias("mtime_ms"))
+    text = F.make_valid_utf8(F.col("content").cast("string")).alias("md")
+    if max_bytes is None:
+        return rows.select(entry[0], text, entry[1], F.lit(None).cast("string").alias("error"))
+    small = rows.where(F.col("length") <= max_bytes).select(entry[0], text, entry[1], F.lit(None).cast("string").alias("error"))
+    large = rows.where(F.col("length") > max_bytes).select(entry[0], F.lit(None).cast("string").alias("md"), entry[1], F.lit(f"larger than {max_bytes} bytes").alias("error"))
+    return small.union(large)
 
 
 def from_text(rows: DataFrame, name: str, md: str, max_bytes: int = RAW_TEXT_BYTES) -> DataFrame:
