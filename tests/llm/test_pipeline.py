@@ -86,6 +86,22 @@ def test_stages_keep_the_columns_and_each_works_on_all_that_is_left(spark, corpu
     assert counts[0] > counts[1] > counts[2] > counts[3] == counts[4]
 
 
+def test_stages_bear_nulls_repeats_long_texts_and_clashing_columns(spark, corpus):
+    folder, rows, _ = corpus
+    clash = ["document", "row", "key", "words", "score", "spans", "rest", "node", "component", "d1"]
+    more = [*rows[:200], (None, "w1 w2", None, None, None), (None, None, None, None, None), (0, "w3 awful", "en", "s", 0), (rows[1][0], rows[1][1], "en", "s", 0), (3000, "w5 w6 " * 300_000 + "token=abcdefgh", "en", "s", 0)]
+    docs = spark.createDataFrame([(*r, *([7] * len(clash))) for r in more], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in clash))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs.repartition(2), folder).collect(), docs.schema)
+        assert docs.columns == columns and all(r[c] == 7 for r in docs.collect() for c in clash), name
+        assert docs.where("doc_id = 3000").count() == 1
+    left = {r.doc_id: r.text for r in docs.collect()}
+    assert left[3000].endswith("w5 w6 [SECRET]") and len(left[3000]) == len("w5 w6 ") * 300_000 + len("[SECRET]")
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
+    assert pieces.where("start = 0").count() == docs.count()
+
+
 def test_pipeline_of_no_documents(spark, corpus, tmp_path):
     folder, *_ = corpus
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
