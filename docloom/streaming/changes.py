@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import glob
 import json
 import os
+import re
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +20,7 @@ POLL = "400 milliseconds"
 
 def snapshot(path: str) -> dict[str, int]:
     """Modification times, in nanoseconds, of a file or of the Markdown files below a folder; what can't be read is left out."""
-    names = [path] if os.path.isfile(path) else [p for p in glob.glob(f"{path}/**/*", recursive=True) if is_markdown(p)]
+    names = [path] if os.path.isfile(path) else [os.path.join(folder, n) for folder, _, own in os.walk(path) for n in own if is_markdown(n)]
     out = {}
     for name in names:
         try:
@@ -31,7 +31,7 @@ def snapshot(path: str) -> dict[str, int]:
 
 
 class ChangeReader(SimpleDataSourceStreamReader):
-    """Polls modification times. The first offset is the present, so only later edits are events; edits between two polls are one."""
+    """Polls modification times. The first offset is the present, so only later edits are events; edits between two polls are one, and a deleted file is forgotten."""
 
     def __init__(self, path: str):
         self.path = path
@@ -43,7 +43,7 @@ class ChangeReader(SimpleDataSourceStreamReader):
         last = json.loads(start["seen"])
         now = snapshot(self.path)
         rows = [(name, at // 1_000_000) for name, at in sorted(now.items()) if at > last.get(name, -1)]
-        return iter(rows), {"seen": json.dumps(last | now)}
+        return iter(rows), {"seen": json.dumps(now)}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         last, now = json.loads(start["seen"]), json.loads(end["seen"])
@@ -73,19 +73,24 @@ def watch(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.format(ChangeSource.name()).option("path", path).load()
 
 
+def literal(path: str) -> str:
+    """A path whose signs of patterns stand for themselves."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
 def rerender(changes: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, trigger: str = POLL):
     """Renders whole documents again on each change and hands the batch to sink(rendered, batch id); returns the running query.
 
-    A batch that runs again after a failure reads the files as they are then.
+    A batch that runs again after a failure reads the files as they are then; files that are gone by then are left out.
     """
 
     def on_batch(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        paths = [r[0] for r in batch.select("path").distinct().toLocalIterator()]  # the edits between two polls
+        paths = [r[0] for r in batch.select("path").distinct().toLocalIterator() if os.path.isfile(r[0])]  # the edits between two polls
         if not paths:
             return
-        files = spark.read.format("binaryFile").load(paths)
-        docs = files.select(F.xxhash64("path").alias("doc_id"), F.regexp_replace("path", r"^file:(?://)?", "").alias("path"), F.col("content").cast("string").alias("md"))
+        files = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load([literal(p) for p in paths])
+        docs = files.select(F.xxhash64("path").alias("doc_id"), F.regexp_replace("path", r"^file:(?://)?", "").alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("md"))
         sink(render_documents(docs), number)
 
     return changes.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(processingTime=trigger).start()

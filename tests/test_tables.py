@@ -140,17 +140,19 @@ def test_stream_renders_again_what_a_batch_renders(spark, tmp_path):
     docs.mkdir()
     (docs / "a.md").write_text("# one")
     (docs / "b.md").write_text("# still")
+    (docs / "gone.md").write_text("# gone")
     query = changes.rerender(changes.watch(spark, str(docs)), lambda df, n: done.extend(df.collect()), str(tmp_path / "checkpoint"))
     try:
         limit = time.time() + 60
         n = 0
         while not done and time.time() < limit:
             n += 1
-            (docs / "a.md").write_text(f"# two {n}")
+            (docs / "a[1]{x}.md").write_text(f"# two {n}")
+            (docs / "gone.md").unlink(missing_ok=True)
             time.sleep(1.5)
     finally:
         query.stop()
-    assert done and {r.title.split()[0] for r in done} == {"two"} and all(r.path.endswith("a.md") for r in done)
+    assert done and {r.title.split()[0] for r in done} == {"two"} and all(r.path.endswith("a[1]{x}.md") for r in done)
 
 
 def test_open_events(spark):
