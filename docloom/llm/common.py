@@ -36,7 +36,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: cuts the lineage and outlives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # the default codec holds direct buffers that only a collection frees
     _stored.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
