@@ -19,6 +19,8 @@ NODES = "doc_id long, pos int, parent int, kind string, level int, text string,
 RENDERED = "doc_id long, path string, ok boolean, html string, title string, toc array<struct<level:int,text:string,id:string>>, words long, error string"
 #: Kinds whose own text is the text below them.
 GATHERED = frozenset(("heading", "paragraph", "link", "image", "term", "cell", "em", "strong", "mark", "ins", "del", "definition", "footnote", "item"))
+#: A bare mail address. A run of its characters is entered at its start or behind the match before, and nothing is given back, so time follows length.
+ADDRESS = r"(?:(?<![A-Za-z0-9._+-])|\G)[._+-]*+([A-Za-z0-9][A-Za-z0-9._+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++)"
 _TOC = pa.list_(pa.struct([("level", pa.int32()), ("text", pa.string()), ("id", pa.string())]))
 _ATTRS = pa.map_(pa.string(), pa.string())
 
@@ -33,23 +35,25 @@ def flattened(root: Node) -> Iterator[tuple[int, int, Node]]:
         pos += 1
 
 
-def _nodes(windows: bool):
+def _nodes(windows: bool, kinds: frozenset[str] | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in NODES.split(", ")]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), _ATTRS, pa.int32(), pa.int32()]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), _ATTRS, pa.int32(), pa.int32()]
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, path, md in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 doc = parse(md or "", path or "", windows=windows)
                 root = Node("document", [*doc.root.children, *doc.notes], doc.title, {"words": str(doc.words)} | {f"front.{k}": str(v) for k, v in doc.front.items()}, 0, 0, doc.root.last)
                 for pos, parent, n in flattened(root):
+                    if kinds is not None and n.kind not in kinds:
+                        continue
                     text = n.plain() if n.kind in GATHERED else n.text
                     rows.append((doc_id, pos, parent, n.kind, n.level, text, list(n.attrs.items()), n.first, n.last))
                 if len(rows) > 20_000:
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names=names)
                     rows = []
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(types)
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names=names)
 
     return run
 
@@ -66,9 +70,9 @@ def _source(docs: DataFrame) -> DataFrame:
     return rows.repartition(docs.sparkSession.sparkContext.defaultParallelism) if size <= DEALT_BYTES else rows
 
 
-def parse_nodes(docs: DataFrame, windows: bool = False) -> DataFrame:
-    """docs(doc_id, md[, path]) to nodes; pos 0 is the document itself, with its title as text."""
-    return _source(docs).mapInArrow(_nodes(windows), NODES)
+def parse_nodes(docs: DataFrame, windows: bool = False, kinds: frozenset[str] | None = None) -> DataFrame:
+    """docs(doc_id, md[, path]) to nodes; pos 0 is the document itself, with its title as text. Whole texts are parsed; of kinds, if given, nodes are handed on."""
+    return _source(docs).mapInArrow(_nodes(windows, kinds), NODES)
 
 
 def _render(windows: bool):
@@ -126,9 +130,24 @@ def links(nodes: DataFrame) -> DataFrame:
 
 
 def autolinks(nodes: DataFrame) -> DataFrame:
+    """(doc_id, pos, href, shown) of links in angle brackets, bare URLs and bare mail addresses; there are none in formulas, code and HTML."""
     return nodes.where("kind = 'autolink'").select("doc_id", "pos", F.col("attrs")["href"].alias("href"), F.col("text").alias("shown"))
 
 
+def addresses(docs: DataFrame) -> DataFrame:
+    """(doc_id, href, shown) of every mail address in docs(doc_id, md), wherever it stands: in formulas, code and HTML too, where nothing is linked."""
+    shown = docs.select("doc_id", F.explode(F.regexp_extract_all("md", F.lit(ADDRESS), F.lit(1))).alias("shown"))
+    return shown.select("doc_id", F.concat(F.lit("mailto:"), "shown").alias("href"), "shown")
+
+
+def with_unlinked(linked: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, href, shown): the rows of linked, and those of found that it lacks; an equal row as often as the side that has it more often."""
+    keys = ["doc_id", "href", "shown"]
+    sides = [rows.select(*keys, F.lit(k).alias("of_linked"), F.lit(1 - k).alias("of_found")) for k, rows in ((1, linked), (0, found))]
+    times = sides[0].unionByName(sides[1]).groupBy(*keys).agg(F.greatest(F.sum("of_linked"), F.sum("of_found")).cast("int").alias("times"))
+    return times.select(*keys, F.explode(F.array_repeat(F.lit(True), F.col("times"))).alias("row")).drop("row")
+
+
 def images(nodes: DataFrame) -> DataFrame:
     """(doc_id, pos, source, resolved, alt)."""
     return nodes.where("kind = 'image'").select("doc_id", "pos", F.col("attrs")["source"].alias("source"), F.col("attrs")["href"].alias("resolved"), F.col("text").alias("alt"))

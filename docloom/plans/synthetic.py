@@ -71,4 +71,9 @@ lines AS (SELECT doc_id, line_no, line, fence, fence OR sum(fence::INT) OVER (PA
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, lang, path, md)."""
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.expr("concat('docs/', source, '/d', doc_id, '.md')").alias("path"), F.expr(MD).alias("md"))
+    return made(table(spark, sf_dir, "documents"))
+
+
+def made(rows: DataFrame) -> DataFrame:
+    """The same of given rows; DuckDB's concat takes a null column as empty, Spark's makes the whole text null."""
+    return rows.select("doc_id", "lang", F.expr("concat('docs/', source, '/d', doc_id, '.md')").alias("path"), F.expr(MD).alias("md"))

@@ -225,6 +225,27 @@ def test_links():
     assert [is_markdown(x) for x in ("a.md", "b.QMD", "c.litcoffee", "md", "d.md/e", "f.tar.text")] == [True, True, False, False, False, True]
 
 
+@pytest.mark.parametrize(
+    ("source", "addresses"),
+    [
+        ("see first.middle.last@x.org", ["first.middle.last@x.org"]),
+        ("a-b_c.d+e@x.org.", ["a-b_c.d+e@x.org"]),
+        ("l" * 100 + "@x.org", ["l" * 100 + "@x.org"]),
+        ("éab.c@x.org", ["ab.c@x.org"]),
+        ("a@x.org_b@y.org *c@z.org*", ["a@x.org", "b@y.org", "c@z.org"]),
+        ("..a@x.org.. @x.org a@x a@x@y.org", ["a@x.org", "x@y.org"]),
+        ("`a@x.org` $a@x.org$ $$$ a@x.org $$$ b@x.org", ["b@x.org"]),
+    ],
+)
+def test_bare_addresses(source, addresses):
+    assert [n.attrs["href"] for n in parse(source).root.walk() if n.kind == "autolink"] == ["mailto:" + a for a in addresses]
+
+
+@pytest.mark.parametrize("source", ["a." * 100_000, "a@" * 100_000, "@a." * 60_000, "a.b_" * 50_000 + "@", "x@" + "a." * 100_000 + "b", "www." * 40_000])
+def test_long_texts_with_signs_of_addresses_end(source):
+    assert parse(source).words == 1
+
+
 def test_any_text_parses():
     r = random.Random(0)
     alphabet = ["\n", "\n\n", " ", "  ", "\t", "*", "**", "_", "`", "```", "~", "~~", "$", "$$", "[", "]", "[[", "]]", "(", ")", "<", ">", "> ", "- ", "1. ", "#", "# ", ":::", ": ", "|", "---", "=", "==", "^", "!", "![", "[^a]", "[^a]: ", "*[k]: v", "\\", "&amp;", "a", "k", "word", "é", "{#x}", "http://x.y", "    "]

@@ -15,6 +15,7 @@ from docloom.functions import lines as L
 from docloom.functions import sql
 from docloom.operators import tables as T
 from docloom.plans import catalog
+from docloom.plans.synthetic import documents
 from docloom.sources import files, sinks
 from docloom.streaming import changes
 from tests.test_markdown import PAGE
@@ -56,6 +57,12 @@ def test_tables(nodes):
     assert {r.kind for r in T.scripts(nodes).collect()} == {"sup", "sub", "mark", "ins", "del"}
 
 
+def test_nodes_of_some_kinds(spark, nodes):
+    docs = spark.createDataFrame([(1, "docs/a.md", PAGE), (2, "b.md", None), (4, "c.md", "text $x$ only")], "doc_id long, path string, md string")
+    some = T.parse_nodes(docs, kinds=frozenset(("autolink", "heading", "math"))).collect()
+    assert sorted(map(repr, some)) == sorted(map(repr, nodes.where("kind IN ('autolink', 'heading', 'math')").collect())) and len(some) > 5
+
+
 def test_render_gives_error_rows(spark):
     docs = spark.createDataFrame([(1, "# A"), (2, None)], "doc_id long, md string")
     got = {r.doc_id: r for r in T.render_documents(docs).collect()}
@@ -195,6 +202,43 @@ def test_whole_queries_answer_every_line(spark):
     assert catalog.queries()["active_section"](spark, SF).count() == outline._lines(spark, SF).count()
 
 
+def test_addresses_in_formulas_code_and_html(spark, tmp_path):
+    texts = {
+        1: "Enèpa### ètreon$$$ est&&& enpa.68@mail7.example.com### rean$$$ a@b.org",
+        2: "`in.code@b.org`\n\n    indented@b.org\n\n```\nfenced@b.org\n```\n\n<p title='raw@b.org'>\n\n^up@b.org^ [x](mailto:link@b.org)",
+        3: "$$\nblock@b.org\n$$\n\nfirst.middle.last+tag@b.org, and again first.middle.last+tag@b.org $a@b.org$ a@b.org",
+        4: "éab.c@b.org a@b.org_c@d.org ..x@b.org.. @b.org a@b a@b@c.org -@b.org",
+        5: "",
+        6: None,
+    }
+    rows = [(i, t, "en", "web" if i % 2 else None) for i, t in texts.items()] + [(1, texts[3], None, "web")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = duckdb.connect().execute(catalog.oracle_sql()["parsed_autolinks"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    got = [tuple(r) for r in catalog.queries()["parsed_autolinks"](spark, str(tmp_path)).select("doc_id", "href", "shown").collect()]
+    assert sorted(got) == sorted(want) and len(want) == 7 + 2 + 6 + 5 + 5 + 5
+    alone = T.autolinks(T.parse_nodes(spark.createDataFrame(list(texts.items()), "doc_id long, md string")))
+    assert sorted((r.doc_id, r.shown) for r in alone.where("doc_id <= 2").collect()) == [(1, "a@b.org")]
+
+
+def test_autolinks_keep_what_the_sql_does_not_list(spark, tmp_path):
+    text = "https://a.org/x and www.b.org, <tel:1> <a!b@c.org> https://u@d.org/ `e@f.org`"
+    spark.createDataFrame([(7, text, "en", "web")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(r.shown for r in catalog.queries()["parsed_autolinks"](spark, str(tmp_path)).collect())
+    assert got == sorted(["https://example.org/7", "https://a.org/x", "www.b.org", "tel:1", "a!b@c.org", "https://u@d.org/", "b@c.org", "u@d.org", "e@f.org"])
+
+
+def test_parser_alone_links_the_addresses_of_the_test_texts(spark, duck):
+    want = duck.execute(catalog.oracle_sql()["parsed_autolinks"]).fetchall()
+    alone = T.autolinks(T.parse_nodes(documents(spark, SF))).select("doc_id", "href", "shown")
+    assert sorted(map(tuple, alone.collect())) == sorted(want)
+
+
+def test_addresses_of_long_texts(spark):
+    texts = ["a" * 1_000_000, "a." * 500_000, "a@" * 500_000, "x@" + "a." * 500_000 + "b", "._" * 500_000 + "a@b.org"]
+    found = T.addresses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, md string")).collect()
+    assert sorted((r.doc_id, r.shown) for r in found) == [(3, texts[3]), (4, "a@b.org")]
+
+
 def test_files_that_are_not_utf8_or_too_large(spark, tmp_path):
     for name, data in (("good.md", "# é".encode()), ("bad.md", b"# caf\xe9 \xff\n"), ("large.md", b"x" * 5000)):
         (tmp_path / name).write_bytes(data)
